@@ -78,9 +78,14 @@ def text_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+def owned(texts: pa.Array) -> pa.Array:
+    """A copy whose bytes begin at 0, without nulls: pyarrow's ascii_lower reads the wrong bytes of a slice."""
+    return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+
+
 def lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words between ASCII white space, A-Z lowered, and the offsets of each text's words. Null texts have none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(owned(texts)))
     offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
     flat, base = flat.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from onceflow.llm.common import table
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from onceflow.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from onceflow.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from onceflow.llm.license import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_license_scan": op10_license_scan}
+QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {}
