@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from onceflow.llm.common import table
 
@@ -19,11 +20,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_max_score_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from onceflow.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from onceflow.llm.license import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
+ORACLES: dict[str, str] = {
+    "op9_max_score_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, row_number() OVER () AS r
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, q.r AS q_r, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+     t AS (SELECT *, row_number() OVER (PARTITION BY q_r ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM t WHERE n <= 20""",
+}
