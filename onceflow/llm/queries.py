@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onceflow.llm.common import table
+from onceflow.llm.mixing import ORACLE as MIX
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from onceflow.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +39,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_source_mix": op1_source_mix, "op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {
+    "op1_source_mix": MIX,
     "op9_max_score_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, row_number() OVER () AS r
            FROM embeddings
