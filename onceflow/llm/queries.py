@@ -27,6 +27,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from onceflow.llm.decontam import edit_matches
+
+    return edit_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from onceflow.llm.warc import capture_index
+
+    return capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_max_score_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from onceflow.llm.topk import top_k
 
@@ -39,8 +51,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
+QUERIES = {"op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_warc_index_merge": op7_warc_index_merge, "op1_source_mix": op1_source_mix, "op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {
+    "op7_warc_index_merge": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM d""",
     "op1_source_mix": MIX,
     "op9_max_score_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, row_number() OVER () AS r
