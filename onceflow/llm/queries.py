@@ -39,6 +39,12 @@ def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from onceflow.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_max_score_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from onceflow.llm.topk import top_k
 
@@ -51,7 +57,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_warc_index_merge": op7_warc_index_merge, "op1_source_mix": op1_source_mix, "op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
+QUERIES = {"op8_separator_scan": op8_separator_scan, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_warc_index_merge": op7_warc_index_merge, "op1_source_mix": op1_source_mix, "op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {
     "op7_warc_index_merge": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
