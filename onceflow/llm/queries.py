@@ -21,6 +21,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from onceflow.llm.lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from onceflow.llm.toxicity import toxicity_scores
 
@@ -63,7 +69,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op8_separator_scan": op8_separator_scan, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_warc_index_merge": op7_warc_index_merge, "op1_source_mix": op1_source_mix, "op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
+QUERIES = {"op3_attention_lm": op3_attention_lm, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op8_separator_scan": op8_separator_scan, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_warc_index_merge": op7_warc_index_merge, "op1_source_mix": op1_source_mix, "op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {
     "op7_warc_index_merge": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
