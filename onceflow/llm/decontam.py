@@ -148,12 +148,15 @@ def edit_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, leas
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 24, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows that hold no item, with all their columns."""
     for items in item_blocks(benchmark, block_items, block_bytes):
+        docs = docs.where(_clean(items, rate, least)(docs["text"]))
+    return docs
 
-        @F.arrow_udf("boolean")
-        def clean(batches: Iterator[pa.Array], items: list = items) -> Iterator[pa.Array]:
-            matcher = Matcher(items, rate, least)
-            for texts in batches:
-                yield pa.array([not matcher.matches(t.as_py()) for t in texts], pa.bool_())
 
-        docs = docs.where(clean(docs["text"]))
-    return docs
+def _clean(items: list[tuple[int | None, str]], rate: float, least: int):
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(items, rate, least)
+        for texts in batches:
+            yield pa.array([not matcher.matches(t.as_py()) for t in texts], pa.bool_())
+
+    return clean
