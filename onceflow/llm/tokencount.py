@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from onceflow.llm.common import scratch_path
+from onceflow.llm.common import scratch_path, text_chunks
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pattern that the vocabulary's tokenizer splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: End of document: the id after the vocabulary's last.
@@ -48,13 +48,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, docum
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, n = encoder(vocabulary), 0
         for b in batches:
-            ids, values = b.column(0).to_pylist(), []
-            for text in b.column(1):
-                values.append(enc.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype("<u2").tobytes())
-            seq = pa.array(np.arange(n, n + len(values)))
-            n += len(values)
-            yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * len(values)), seq, pa.array(values, pa.binary())], ["kind", "seq", "value"])
-            yield pa.RecordBatch.from_arrays([pa.array(["ids"] * len(ids)), seq, pa.array([(i or "").encode() for i in ids], pa.binary())], ["kind", "seq", "value"])
+            for s, e in text_chunks(b.column(1)):
+                ids, texts = b.column(0).slice(s, e - s).to_pylist(), b.column(1).slice(s, e - s)
+                values = [enc.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype("<u2").tobytes() for text in texts]
+                seq = pa.array(np.arange(n, n + len(values)))
+                n += len(values)
+                yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * len(values)), seq, pa.array(values, pa.binary())], ["kind", "seq", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(["ids"] * len(ids)), seq, pa.array([(i or "").encode() for i in ids], pa.binary())], ["kind", "seq", "value"])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "kind string, seq long, value binary")
     rows = rows.sortWithinPartitions("kind", "seq").select("kind", F.col("value").cast("string").alias("value"))
