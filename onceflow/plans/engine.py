@@ -1,0 +1,207 @@
+"""Requests to effects: decide, commit, dispatch, commit.
+
+A decision is committed before anything is dispatched, and what is dispatched is read back from that commit, so neither a recomputed plan nor
+a retried stage decides anew. Dispatch itself is at least once, as any task may run twice: what that means for an effect is what its level says. After a
+crash between the commits the effects stand EXECUTING, and recovery treats each by its level.
+"""
+
+from __future__ import annotations
+
+import inspect
+from collections.abc import Callable, Iterator, Mapping
+from datetime import UTC, datetime
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from onceflow import schema as S
+from onceflow.errors import LedgerError
+from onceflow.functions import identity as I
+from onceflow.functions.canonical import json_round_trip
+from onceflow.operators import claims, recovery
+from onceflow.operators import transitions as tr
+from onceflow.plans.declarations import Declaration, Registry
+from onceflow.sources.store import Ledger
+
+#: What a dispatch function returns for each request: outcome is ok, clean_failure or unknown.
+OUTCOMES = "key string, outcome string, result string, result_ref string, error string"
+
+
+def dispatcher(effect: Callable[[dict[str, Any]], Any], clean: tuple[type[BaseException], ...] = ()) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A batch dispatch function from one that takes a request as a dict. Exceptions of the declared types prove that nothing happened; others leave it unknown."""
+    if inspect.iscoroutinefunction(effect) or inspect.isgeneratorfunction(effect) or inspect.isasyncgenfunction(effect):
+        raise LedgerError("an effect must be a plain function: a coroutine or generator would not have run when it returns")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for request in pdf.to_dict("records"):
+            try:
+                out = effect(request)
+                if inspect.isawaitable(out) or inspect.isgenerator(out):
+                    raise LedgerError("the effect returned something that has yet to run")
+                rows.append((request["key"], "ok", *json_round_trip(out), None))
+            except clean as e:
+                rows.append((request["key"], "clean_failure", None, None, f"{type(e).__name__}: {e}"))
+            except Exception as e:  # noqa: BLE001  the effect may have happened
+                rows.append((request["key"], "unknown", None, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUTCOMES.split(", ")])
+
+    return run
+
+
+class Engine:
+    """Settles batches of requests against a single-writer ledger."""
+
+    def __init__(self, spark: SparkSession, path: str, registry: Registry, secret: bytes, verify_secrets: tuple[bytes, ...] = (), now: Callable[[], datetime] = lambda: datetime.now(UTC)):
+        self.spark, self.registry, self.secret, self.now = spark, registry, secret, now
+        self.ledger = Ledger(spark, path, create=True)
+        ids = [I.secret_id(s) for s in (secret, *verify_secrets)]
+        if len(set(ids)) != len(ids):
+            raise LedgerError("two secrets have one id")
+        self.keyring = dict(zip(ids, (secret, *verify_secrets), strict=True))
+        self._recovered = False
+
+    def identify(self, calls: DataFrame, tool: str, *, arrival: Column, args: list[str] | None = None, key: Column | None = None, step: Column | None = None, scope: Column | None = None, occurrence: Column | int = 1) -> DataFrame:
+        """Requests from calls of a tool: key, fingerprint under every secret of the keyring, flags. args names the columns that are arguments, by default
+        all. Calls without a coordinate keep refused, and no key."""
+        d = self.registry[tool]
+        at = I.coordinate(key=key, step=step, scope=scope, occurrence=occurrence)
+        c = calls.withColumn("at", at).withColumn("message", d.message(calls.select(*(args or calls.columns)).schema))
+        prints = {sid: I.fingerprint(F.col("message"), s) for sid, s in self.keyring.items()}
+        primary = I.secret_id(self.secret)
+        return c.select(
+            *[x for x in calls.columns if x not in ("key", "scope", "tool")], F.when(F.col("at.refused").isNull(), I.positional_key(F.col("at.scope"), F.col("at.call_site"), F.lit(tool), F.col("at.occurrence"))).alias("key"),
+            F.col("at.scope").alias("scope"), F.lit(tool).alias("tool"), F.col("at.refused").alias("refused"), prints[primary].alias("fingerprint"), F.create_map(*[x for sid, p in prints.items() for x in (F.lit(sid), p)]).alias("fingerprints"),
+            F.lit(primary).alias("secret_id"), arrival.alias("arrival"), F.lit(d.provider_dedup).alias("provider_dedup"), F.lit(d.provider_ttl_s).cast("double").alias("provider_ttl_s"), F.lit(d.reconcile is not None).alias("reconcilable"),
+        )
+
+    def _matches(self) -> Column:
+        """Evidence compared under the secret that signed the row's; null, so no match, if it has left the keyring."""
+        primary = I.secret_id(self.secret)
+        return F.col("fingerprints")[F.coalesce("row_secret_id", F.lit(primary))] == F.col("row_fingerprint")
+
+    def _claimed(self, ledger: DataFrame, lead: DataFrame) -> DataFrame:
+        """The ledger with the leaders' rows EXECUTING: new ones in full, known ones with new evidence and their first claim's time, flags and TTL."""
+        at, none = F.lit(self.now()).cast("timestamp"), lambda kind: F.lit(None).cast(kind)
+        new = lead.join(ledger.select("key"), "key", "left_anti").select(
+            "key", "scope", "tool", "fingerprint", F.lit(S.EXECUTING).alias("state"), "provider_dedup", "provider_ttl_s", "reconcilable", none("string").alias("result"), none("string").alias("result_ref"), none("string").alias("error"),
+            at.alias("created_at"), none("timestamp").alias("settled_at"), F.lit(0).cast("long").alias("fencing_token"), none("string").alias("lease_owner"), none("double").alias("lease_expires"), none("string").alias("resolved_by"),
+            F.lit(S.KEY_VERSION).alias("key_version"), F.lit(S.FINGERPRINT_VERSION).alias("fingerprint_version"), "secret_id",
+        )
+        w = lead.select("key", F.col("fingerprint").alias("w_fp"), F.col("secret_id").alias("w_sid"))
+        hit = F.col("w_fp").isNotNull()
+        old = ledger.join(w, "key", "left").withColumns({
+            "state": F.when(hit, S.EXECUTING).otherwise(F.col("state")), "fingerprint": F.coalesce("w_fp", "fingerprint"), "secret_id": F.coalesce("w_sid", "secret_id"), "error": F.when(~hit, F.col("error")),
+        }).drop("w_fp", "w_sid")
+        return old.unionByName(new)
+
+    def settle(self, requests: DataFrame, dispatch: Callable[[pd.DataFrame], pd.DataFrame], rounds: int = 50) -> DataFrame:
+        """One row a request: its columns, outcome, result, result_ref. Requests are written once first, since their plans may not be
+        deterministic. A clean failure lets the next request of its key try, up to `rounds` times in a batch."""
+        if not self._recovered and self.ledger.version():
+            self.recover()
+        self._recovered = True
+        base = f"{self.ledger.path}/_batches/{self.now().strftime('%Y%m%dT%H%M%S%f')}"
+        requests.write.parquet(f"{base}/requests")
+        todo, done = self.spark.read.parquet(f"{base}/requests"), []
+        refused = todo.where("key is null").withColumns({"outcome": F.lit("NO_COORDINATE"), "follows": F.lit(None).cast(todo.schema["arrival"].dataType), "result": F.lit(None).cast("string"), "result_ref": F.lit(None).cast("string")})
+        todo = todo.where("key is not null")
+        for n in range(rounds):
+            here = f"{base}/{n:03d}"
+
+            def claim(ledger: DataFrame, todo: DataFrame = todo, here: str = here) -> tuple[DataFrame, DataFrame]:
+                claims.decide_claim(todo, ledger, self._matches()).drop("stored_fingerprint").write.mode("overwrite").parquet(f"{here}/decided")
+                decided = self.spark.read.parquet(f"{here}/decided")
+                return self._claimed(ledger, decided.where("outcome = 'PROCEED'")), decided
+
+            decided = self.ledger.update(claim, "claim")  # first commit: EXECUTING before anything is sent
+            leaders = decided.where("outcome = 'PROCEED'")
+            run = lambda frames: (dispatch(f) for f in frames if len(f))
+            leaders.drop("follows", "result", "result_ref", "fingerprints").mapInPandas(run, OUTCOMES).write.parquet(f"{here}/outcomes")
+            outcomes = self.spark.read.parquet(f"{here}/outcomes")
+            self.ledger.update(lambda ledger, o=outcomes: (self._recorded(ledger, o), None), "record")  # second commit
+            after = claims.follow_up(decided, outcomes)
+            mine = outcomes.select("key", F.col("outcome").alias("actual"), F.col("result").alias("r"), F.col("result_ref").alias("rr"), F.col("error").alias("e"))
+            after = after.join(mine, "key", "left")
+            shows = (F.col("outcome") == "PROCEED") | ((F.col("outcome") == "REPLAY") & F.col("follows").isNotNull())
+            after = after.withColumns({"result": F.when(shows, F.col("r")).otherwise(F.col("result")), "result_ref": F.when(shows, F.col("rr")).otherwise(F.col("result_ref"))})
+            sent = F.col("outcome") == "PROCEED"
+            after = after.withColumn("outcome", F.when(sent & (F.col("actual") == "clean_failure"), "FAILED").when(sent & (F.col("actual") == "unknown"), "UNKNOWN").otherwise(F.col("outcome"))).drop("actual", "r", "rr", "e")
+            after.write.parquet(f"{here}/after")
+            after = self.spark.read.parquet(f"{here}/after")
+            done.append(after.where("outcome is not null"))
+            again = after.where("outcome is null").select(*requests.columns)
+            if not again.take(1):
+                break
+            todo = again
+        else:
+            done.append(again.withColumns({"outcome": F.lit("IN_FLIGHT"), "follows": F.lit(None).cast(todo.schema["arrival"].dataType), "result": F.lit(None).cast("string"), "result_ref": F.lit(None).cast("string")}))
+        out = refused
+        for d in done:
+            out = out.unionByName(d)
+        return out.drop("follows", "fingerprints")
+
+    def _recorded(self, ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
+        now = self.now()
+        ok = outcomes.where("outcome = 'ok'").select("key", "result", "result_ref")
+        failed = outcomes.where("outcome = 'clean_failure'").select("key", "error")
+        after, _ = tr.record_success(ledger, ok, now)
+        return tr.record_failure(after, failed, now)[0]
+
+    def recover(self, reads: DataFrame | None = None) -> DataFrame:
+        """Resolves what a crash left; returns (key, from_state, to_state). All tools must be declared first. Providers are asked
+        by the declarations' reconcile functions, in Arrow batches: reads are safe to repeat."""
+        known = {d.tool: d.reconcile for d in self.registry if d.reconcile is not None}
+
+        def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows = []
+                for key, tool in zip(f["key"], f["tool"], strict=True):
+                    try:
+                        verdict, result = known[tool](key)
+                        rows.append((key, verdict, json_round_trip(result)[0]))
+                    except Exception:  # noqa: BLE001  a failed read concludes nothing
+                        rows.append((key, "RAISED", None))
+                yield pd.DataFrame(rows, columns=["key", "verdict", "result"])
+
+        def change(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+            pending = recovery.pending_reconcile(ledger).where(F.col("tool").isin(*known)) if known else recovery.pending_reconcile(ledger).limit(0)
+            answers = reads if reads is not None else pending.mapInPandas(ask, S.PROVIDER_READS)
+            path = f"{self.ledger.path}/_batches/recover-{self.now().strftime('%Y%m%dT%H%M%S%f')}"
+            at = F.lit(self.now()).cast("timestamp")
+            recovery.recover(ledger, self.registry.frame(self.spark), answers, at).where("from_state <> to_state").write.mode("overwrite").parquet(path)
+            moves = self.spark.read.parquet(path)
+            w = moves.select("key", F.col("to_state").alias("w_state"), F.col("result").alias("w_result"))
+            hit = F.col("w_state").isNotNull()
+            after = ledger.join(w, "key", "left").withColumns({
+                "settled_at": F.when(hit & F.col("w_state").isin(*S.TERMINAL), at).otherwise(F.col("settled_at")), "state": F.coalesce("w_state", "state"), "result": F.when(F.col("w_state") == S.SUCCEEDED, F.col("w_result")).otherwise(F.col("result")),
+            }).drop("w_state", "w_result")
+            return after, moves
+
+        self._recovered = True
+        return self.ledger.update(change, "recover").select("key", "from_state", "to_state")
+
+
+def effect(engine: Engine, declaration: Declaration, fn: Callable[[dict[str, Any]], Any]) -> Callable[..., DataFrame]:
+    """Binds a tool's declaration and function: the result settles DataFrames of calls."""
+    engine.registry.add(declaration)
+    send = dispatcher(fn, declaration.clean_failures)
+    return lambda calls, **identity: engine.settle(engine.identify(calls, declaration.tool, **identity), send)
+
+
+def guard(engine: Engine, declaration: Declaration, fn: Callable[[dict[str, Any]], Any], args: Mapping[str, Any], **names: str | int) -> Any:
+    """One call, strictly: its result, or the error that its outcome means. names: key, or step and scope, and occurrence."""
+    import json
+
+    from onceflow.errors import STRICT
+
+    calls = engine.spark.createDataFrame([dict(args)])
+    coordinate = {k: F.lit(v) if isinstance(v, str) else v for k, v in names.items()}
+    row = effect(engine, declaration, fn)(calls, arrival=F.lit(0).cast("long"), **coordinate).first()
+    if row.outcome in STRICT:
+        raise STRICT[row.outcome](f"{row.key}: {row.outcome}")
+    if row.outcome in ("FAILED", "UNKNOWN"):
+        raise LedgerError(f"{row.key}: the effect ended {row.outcome}")
+    return json.loads(row.result) if row.result is not None else row.result_ref
