@@ -50,17 +50,14 @@ def audit(ledger: DataFrame, *, limit: int | None = None, ordered: bool = True,
     return out if limit is None else out.limit(limit)
 
 
-def state_of(ledger: DataFrame, key: str) -> DataFrame:
-    return ledger.where(F.col("key") == key).select("state")
-
-
-def evidence_of(ledger: DataFrame, key: str) -> DataFrame:
-    return ledger.where(F.col("key") == key).select("fingerprint", "secret_id")
+def lookup(ledger: DataFrame, key: str) -> DataFrame:
+    """One key's row: its state, fingerprint, secret id and result."""
+    return ledger.where(F.col("key") == key).select("key", "state", "fingerprint", "secret_id", "result", "result_ref")
 
 
 def recorded_result(ledger: DataFrame, key: str) -> Any:
     """The result of a settled effect; its marker where it has none; KeyError for an unknown key."""
-    row = ledger.where(F.col("key") == key).select("result", "result_ref").first()
+    row = lookup(ledger, key).select("result", "result_ref").first()
     if row is None:
         raise KeyError(key)
     return json.loads(row.result) if row.result is not None else row.result_ref

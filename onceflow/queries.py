@@ -382,3 +382,73 @@ def ext_occurrence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: repeats of a step numbered in order of arrival."""
     w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     return table(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("occurrence"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'global' WHEN 1 THEN 'run-' || o_custkey WHEN 2 THEN 'rt' END AS scope,
+  CASE o_orderkey % 5 WHEN 0 THEN '01' || lower(hex('k' || o_orderkey)) WHEN 1 THEN '03' || lower(hex('s' || o_orderkey)) WHEN 2 THEN '02' || lower(hex('r' || o_orderkey)) END AS call_site,
+  CASE o_orderkey % 5 WHEN 3 THEN CASE WHEN o_custkey % 2 = 0 THEN 'KEY_AND_STEP' ELSE 'STEP_WITHOUT_SCOPE' END WHEN 4 THEN CASE WHEN o_custkey % 2 = 0 THEN 'BLANK' ELSE 'NO_COORDINATE' END END AS refused FROM orders""")
+def coordinate_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rung, and every refusal."""
+    k, even = F.col("o_orderkey") % 5, F.col("o_custkey") % 2 == 0
+    name = lambda p: F.concat(F.lit(p), _text(F.col("o_orderkey")))
+    key = F.when(k == 0, F.concat(F.lit(" "), name("k"), F.lit("\t"))).when((k == 3) & even, name("k")).when((k == 4) & even, "  ")
+    step = F.when(k.isin(0), None).when(k.isin(1, 3), name("s"))
+    at = I.coordinate(key=key, step=step, scope=F.when(k == 1, F.concat(F.lit("run-"), _text(F.col("o_custkey")))), runtime_scope=F.when(k == 2, "rt"), runtime_site=F.when(k == 2, name("r").cast("binary")))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", at.alias("at"))
+    return d.select("o_orderkey", "at.scope", F.lower(F.hex("at.call_site")).alias("call_site"), "at.refused")
+
+
+@query(f"""SELECT event_id, md5(unhex('4c0000000000000003') || encode('i') || {_framed("encode(CAST(event_id AS VARCHAR))")} || {_sql_string('event_type')} || CASE WHEN value < 10 THEN encode('T') ELSE encode('F') END) AS digest FROM events""")
+def canonical_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence of an integer, a string and a boolean."""
+    kinds = [(F.col("event_id"), T.LongType()), (F.col("event_type"), T.StringType()), (F.col("value") < 10, T.BooleanType())]
+    whole = F.concat(C.binary("L"), C.count(F.lit(3)), *[C.canonical(c, t) for c, t in kinds])
+    return table(spark, sf_dir, "events").select("event_id", F.md5(whole).alias("digest"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_custkey % 4 AS v, o_orderpriority LIKE '1%' AS retry FROM orders WHERE o_orderstatus = 'O')
+SELECT 'order-' || o_orderkey AS key, CASE WHEN v = 0 THEN 'ADOPT' WHEN v = 1 AND retry THEN 'DISPATCH' ELSE 'AMBIGUATE' END AS action FROM t""")
+def takeover_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, v = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), F.col("o_custkey") % 4
+    key = F.concat(F.lit("order-"), _text(F.col("o_orderkey"))).alias("key")
+    reads = o.where(v != 3).select(key, F.when(v == 0, "SETTLED").when(v == 1, "ABSENT").otherwise("UNKNOWN").alias("verdict"))
+    return recovery.reconcile_on_takeover(o.select(key, F.when(F.col("o_orderpriority").startswith("1"), "retry").otherwise("surface").alias("on_absent")), reads)
+
+
+@query(f"""WITH {_EVENTS}, f AS (SELECT key, min(event_id) AS lead FROM ev GROUP BY key)
+SELECT event_id, CASE WHEN event_id = lead OR lead % 3 = 0 THEN outcome WHEN lead % 3 = 2 THEN 'IN_FLIGHT' END AS outcome FROM dec JOIN f ON dec.key = f.key""")
+def follow_up_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaders end well, cleanly failed, or nobody knows, by their id."""
+    decided = _decided_events(spark, sf_dir)
+    ends = decided.where(F.col("outcome") == "PROCEED").select("key", F.when(F.col("arrival") % 3 == 0, "ok").when(F.col("arrival") % 3 == 1, "clean_failure").otherwise("unknown").alias("outcome"))
+    return claims.follow_up(decided, ends).select(F.col("arrival").alias("event_id"), "outcome")
+
+
+@query("SELECT 'f' || p_partkey || '.py' AS path, CAST(CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS line, CASE WHEN p_partkey % 4 = 3 THEN 'OF000' ELSE 'OF001' END AS code FROM part WHERE p_partkey % 4 <> 2")
+def scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with an unguarded call, a writing statement, a guarded call, and a syntax error."""
+    from onceflow.operators.scanner import scan
+
+    kinds = ["import requests\nrequests.post('u')\n", "def f(db):\n    db.execute('DELETE FROM t')\n", "import requests\n@sk.effect(d)\ndef f():\n    requests.post('u')\n", "def (\n"]
+    body = F.array(*map(F.lit, kinds))[(F.col("p_partkey") % 4).cast("int")]
+    sources = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), _text(F.col("p_partkey")), F.lit(".py")).alias("path"), body.cast("binary").alias("content"))
+    return scan(sources).select("path", "line", "code")
+
+
+@query("SELECT p_brand AS repo, count(*) AS files, CAST(sum(CASE p_partkey % 4 WHEN 2 THEN 0 ELSE 1 END) AS BIGINT) AS findings FROM part GROUP BY ROLLUP (p_brand)")
+def flag_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), "p_partkey")
+    return metrics.flag_density(p.where("p_partkey % 4 <> 2"), p).select("repo", "files", "findings")
+
+
+@query(f"WITH {LEDGER} SELECT key, state, fingerprint FROM led WHERE key = 'order-7'")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.lookup(orders_ledger(spark, sf_dir), "order-7").select("key", "state", "fingerprint")
+
+
+@query("WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS k FROM orders) SELECT o_orderkey, k <> 1 AS lossless FROM o")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether stored JSON text survives a parse and a print: the second form has blanks."""
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, '{"a":1,"b":[null,true]}').when(k == 1, '{"a": 1}').otherwise('"x"')
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.lossless(text).alias("lossless"))
