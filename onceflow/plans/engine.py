@@ -83,7 +83,7 @@ class Engine:
         return F.col("fingerprints")[F.coalesce("row_secret_id", F.lit(primary))] == F.col("row_fingerprint")
 
     def _claimed(self, ledger: DataFrame, lead: DataFrame) -> DataFrame:
-        """The ledger with the leaders' rows EXECUTING: new ones in full, known ones with new evidence and their first claim's time, flags and TTL."""
+        """The leaders' rows, EXECUTING: new ones in full, known ones with new evidence and their first claim's time, flags and TTL."""
         at, none = F.lit(self.now()).cast("timestamp"), lambda kind: F.lit(None).cast(kind)
         new = lead.join(ledger.select("key"), "key", "left_anti").select(
             "key", "scope", "tool", "fingerprint", F.lit(S.EXECUTING).alias("state"), "provider_dedup", "provider_ttl_s", "reconcilable", none("string").alias("result"), none("string").alias("result_ref"), none("string").alias("error"),
@@ -91,12 +91,14 @@ class Engine:
             F.lit(S.KEY_VERSION).alias("key_version"), F.lit(S.FINGERPRINT_VERSION).alias("fingerprint_version"), "secret_id",
         )
         w = lead.select("key", F.col("fingerprint").alias("w_fp"), F.col("secret_id").alias("w_sid"))
-        hit = F.col("w_fp").isNotNull()
-        old = ledger.join(w, "key", "left").withColumns({
-            "state": F.when(hit, S.EXECUTING).otherwise(F.col("state")), "fingerprint": F.coalesce("w_fp", "fingerprint"), "secret_id": F.coalesce("w_sid", "secret_id"), "error": F.when(~hit, F.col("error")),
-        }).drop("w_fp", "w_sid")
+        old = ledger.join(w, "key").withColumns({"state": F.lit(S.EXECUTING), "fingerprint": F.col("w_fp"), "secret_id": F.col("w_sid"), "error": none("string")}).select(*S.EFFECTS.names)
         return old.unionByName(new)
 
+    @staticmethod
+    def _touched(ledger: DataFrame, rows: DataFrame) -> DataFrame:
+        """The ledger's rows with the keys of a batch. A small batch's keys go to the ledger by broadcast, and its files are not shuffled."""
+        return ledger.join(rows.select("key").distinct(), "key", "left_semi")
+
     def settle(self, requests: DataFrame, dispatch: Callable[[pd.DataFrame], pd.DataFrame], rounds: int = 50) -> DataFrame:
         """One row a request: its columns, outcome, result, result_ref. Requests are written once first, since their plans may not be
         deterministic. A clean failure lets the next request of its key try, up to `rounds` times in a batch."""
@@ -112,6 +114,7 @@ class Engine:
             here = f"{base}/{n:03d}"
 
             def claim(ledger: DataFrame, todo: DataFrame = todo, here: str = here) -> tuple[DataFrame, DataFrame]:
+                ledger = self._touched(ledger, todo)
                 claims.decide_claim(todo, ledger, self._matches()).drop("stored_fingerprint").write.mode("overwrite").parquet(f"{here}/decided")
                 decided = self.spark.read.parquet(f"{here}/decided")
                 return self._claimed(ledger, decided.where("outcome = 'PROCEED'")), decided
@@ -147,7 +150,7 @@ class Engine:
         now = self.now()
         ok = outcomes.where("outcome = 'ok'").select("key", "result", "result_ref")
         failed = outcomes.where("outcome = 'clean_failure'").select("key", "error")
-        after, _ = tr.record_success(ledger, ok, now)
+        after, _ = tr.record_success(self._touched(ledger, outcomes.where("outcome <> 'unknown'")), ok, now)
         return tr.record_failure(after, failed, now)[0]
 
     def recover(self, reads: DataFrame | None = None) -> DataFrame:
@@ -174,10 +177,9 @@ class Engine:
             recovery.recover(ledger, self.registry.frame(self.spark), answers, at).where("from_state <> to_state").write.mode("overwrite").parquet(path)
             moves = self.spark.read.parquet(path)
             w = moves.select("key", F.col("to_state").alias("w_state"), F.col("result").alias("w_result"))
-            hit = F.col("w_state").isNotNull()
-            after = ledger.join(w, "key", "left").withColumns({
-                "settled_at": F.when(hit & F.col("w_state").isin(*S.TERMINAL), at).otherwise(F.col("settled_at")), "state": F.coalesce("w_state", "state"), "result": F.when(F.col("w_state") == S.SUCCEEDED, F.col("w_result")).otherwise(F.col("result")),
-            }).drop("w_state", "w_result")
+            after = ledger.join(w, "key").withColumns({
+                "settled_at": F.when(F.col("w_state").isin(*S.TERMINAL), at).otherwise(F.col("settled_at")), "state": F.col("w_state"), "result": F.when(F.col("w_state") == S.SUCCEEDED, F.col("w_result")).otherwise(F.col("result")),
+            }).select(*S.EFFECTS.names)
             return after, moves
 
         self._recovered = True

@@ -1,25 +1,33 @@
-"""A ledger on shared storage: Parquet snapshots named by numbered commits.
+"""A ledger on shared storage: a Parquet base and deltas, named by numbered commits.
 
 <path>/_meta.json holds the schema version and the coordination mode. Commit n is <path>/commits/<n>.json, created only if it is not
-there yet, which names a snapshot folder below <path>/state. A writer reads commit n, decides, writes a snapshot, and creates commit n + 1; if another
-has created it, the decision is made again on what that one wrote. Readers see the snapshot of the last commit; lost executors and crashed
-writers leave folders that no commit names. On a store whose create or rename can overwrite, one writer at a time must be arranged outside.
+there yet; it names a base and the deltas since, folders below <path>/state. A delta holds the rows that a commit changed, so a batch costs what it
+touches, not what the ledger holds; every COMPACT deltas become a new base. A writer reads commit n, decides, writes its delta, and creates commit n + 1;
+if another has created it, the decision is made again on what that one wrote. Readers see the last commit; lost executors and crashed
+writers leave folders that no commit names. On a store whose rename can overwrite, one writer at a time must be arranged outside.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from onceflow.errors import CommitConflict, LedgerError, LedgerNotFound
 from onceflow.schema import EFFECTS, KEY_VERSION, SCHEMA_VERSION, evolve
 
 
+#: Deltas that a read merges before they become a base.
+COMPACT = 16
+
+
 class _Files:
     """The few file operations that a commit needs, through Hadoop's file systems."""
 
@@ -99,40 +107,71 @@ class Ledger:
     def version(self) -> int:
         return max((int(n.removesuffix(".json")) for n in self.files.names("commits") if n.endswith(".json")), default=0)
 
+    def _commit(self, version: int) -> dict[str, Any]:
+        return json.loads(self.files.read(f"commits/{version:020d}.json")) if version else {"base": None, "deltas": []}
+
+    def _load(self, name: str) -> DataFrame:
+        return evolve(self.spark.read.parquet(f"{self.path}/state/{name}"))
+
     def read(self, version: int | None = None) -> DataFrame:
-        """The state at a version, by default the last; a ledger without commits is empty."""
-        version = self.version() if version is None else version
-        if not version:
+        """The state at a version, by default the last; a ledger without commits is empty. The base is read as it lies: the
+        keys that deltas have touched are few and go to it, by broadcast where they are small."""
+        commit = self._commit(self.version() if version is None else version)
+        if not commit["base"] and not commit["deltas"]:
             return self.spark.createDataFrame([], EFFECTS)
-        commit = json.loads(self.files.read(f"commits/{version:020d}.json"))
-        return evolve(self.spark.read.parquet(f"{self.path}/{commit['state']}"))
-
-    def write(self, state: DataFrame, on: int, note: str = "") -> int:
-        """Makes a state the successor of version `on`; CommitConflict if that has one already."""
-        name = f"state/{on + 1:020d}-{uuid.uuid4().hex}"
+        if not commit["deltas"]:
+            return self._load(commit["base"])
+        late = [self._load(d) for d in commit["deltas"]]
+        if len(late) > 1:
+            tagged = reduce(DataFrame.unionByName, [d.withColumn("delta", F.lit(i)) for i, d in enumerate(late)])
+            last = tagged.groupBy("key").agg(F.max_by(F.struct(*EFFECTS.names), "delta").alias("row")).select("row.*")
+        else:
+            last = late[0]
+        return self._load(commit["base"]).join(last.select("key"), "key", "left_anti").select(*EFFECTS.names).unionByName(last) if commit["base"] else last
+
+    def _write(self, rows: DataFrame, on: int) -> str:
+        name = f"{on + 1:020d}-{uuid.uuid4().hex}"
         # rows of a state side by side, and keys in order within files: row groups then prune by both
-        evolve(state).sortWithinPartitions("state", "key").write.parquet(f"{self.path}/{name}")
-        entry = {"state": name, "at": datetime.now(UTC).isoformat(), "note": note}
+        evolve(rows).sortWithinPartitions("state", "key").write.parquet(f"{self.path}/state/{name}")
+        return name
+
+    def _create(self, on: int, base: str | None, deltas: list[str], note: str) -> int:
+        entry = {"base": base, "deltas": deltas, "at": datetime.now(UTC).isoformat(), "note": note}
         if not self.files.create(f"commits/{on + 1:020d}.json", json.dumps(entry)):
             raise CommitConflict(f"version {on + 1} is taken")
         return on + 1
 
+    def write(self, changed: DataFrame, on: int, note: str = "") -> int:
+        """Commits the rows, one a key, that differ from version `on`; CommitConflict if that has a successor already."""
+        commit = self._commit(on)
+        return self._create(on, commit["base"], [*commit["deltas"], self._write(changed, on)], note)
+
+    def compact(self) -> int:
+        """Makes base and deltas one base; the state stays as it is."""
+        on = self.version()
+        return self._create(on, self._write(self.read(on), on), [], "compact")
+
     def update(self, change: Callable[[DataFrame], tuple[DataFrame, Any]], note: str = "", tries: int = 10) -> Any:
-        """Reads, changes, commits; on a conflict all three again, so the decision is always about what is there. change gives (state, answer)."""
+        """Reads, changes, commits; on a conflict all three again, so the decision is always about what is there. change gives
+        (changed rows, answer)."""
         for _ in range(tries):
             on = self.version()
-            state, answer = change(self.read(on))
+            changed, answer = change(self.read(on))
             try:
-                self.write(state, on, note)
-                return answer
+                self.write(changed, on, note)
             except CommitConflict:
                 continue
+            if len(self._commit(on + 1)["deltas"]) >= COMPACT:
+                with contextlib.suppress(CommitConflict):  # another writer's turn
+                    self.compact()
+            return answer
         raise CommitConflict(f"no commit in {tries} tries")
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Deletes snapshots that none of the last commits names; returns them."""
-        commits = sorted(self.files.names("commits"))[-keep:]
-        named = {json.loads(self.files.read(f"commits/{c}"))["state"].split("/")[1] for c in commits}
+        """Deletes what none of the last commits names; returns it. No writer may be at work."""
+        last = self.version()
+        commits = [self._commit(v) for v in range(max(1, last - keep + 1), last + 1)]
+        named = {n for c in commits for n in (c["base"], *c["deltas"])}
         gone = [n for n in self.files.names("state") if n not in named]
         for n in gone:
             self.files.fs.delete(self.files.path(f"state/{n}"), True)

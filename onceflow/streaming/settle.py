@@ -34,7 +34,7 @@ def late_evidence_stream(evidence: DataFrame, ledger: Ledger, checkpoint: str) -
 
     def batch(df: DataFrame, batch_id: int) -> None:
         one = df.groupBy("key").agg(F.min_by(F.struct("failed", "result", "result_ref", "error"), "failed").alias("e")).select("key", "e.*")  # success outranks failure
-        ledger.update(lambda state: (transitions.late_evidence(state, one, F.current_timestamp())[0], None), f"late evidence {batch_id}")
+        ledger.update(lambda state: (transitions.late_evidence(state.join(one.select("key"), "key", "left_semi"), one, F.current_timestamp())[0], None), f"late evidence {batch_id}")
 
     return evidence.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 

@@ -13,6 +13,7 @@ from onceflow.functions import identity as I
 from onceflow.operators import audit as A
 from onceflow.operators import metrics, scanner
 from onceflow.plans import declarations as D
+from onceflow.sources import store
 from onceflow.sources.sqlite_file import read_effects
 from onceflow.sources.store import Ledger
 from tests.test_decisions import T0, effects
@@ -131,7 +132,7 @@ def test_message_equals_python(spark):
         assert bytes(r.p) == D.C.encode(d.identity(absent))
 
 
-def test_store_commits_and_conflicts(spark, tmp_path):
+def test_store_commits_and_conflicts(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "ledger")
     with pytest.raises(LedgerNotFound):
         Ledger(spark, path)
@@ -150,7 +151,11 @@ def test_store_commits_and_conflicts(spark, tmp_path):
 
         a.update(change)
         assert len(tries) == 2 and a.version() == 3 and {(r.key, r.state) for r in a.read().collect()} == {("k", S.SUCCEEDED), ("other", S.SUCCEEDED)}
-        assert len(a.vacuum(1)) >= 2 and a.read().count() == 2
+        assert [(r.key, r.state) for r in a.read(1).collect()] == [("k", S.INTENDED)] and a.read(2).count() == 2
+        monkeypatch.setattr(store, "COMPACT", 4)
+        a.update(lambda state: (state.where("key = 'k'").withColumn("state", F.lit(S.FAILED)), None))
+        assert a.version() == 5 and a._commit(5)["deltas"] == [] and {(r.key, r.state) for r in a.read().collect()} == {("k", S.FAILED), ("other", S.SUCCEEDED)}
+        assert len(a.vacuum(1)) == 6 and a.read().count() == 2  # four deltas, two that lost the race
     with pytest.raises(LedgerError):
         Ledger(spark, path, create=True, multi_worker=True)
     (tmp_path / "ledger" / "_meta.json").write_text(json.dumps({"schema_version": 99, "mode": "single"}))
