@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; longer single texts are handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _MASK = (1 << 64) - 1
 
@@ -40,19 +40,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, *paths: str) -> None:
-    """Deletes scratch tables that no later plan reads."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared scratch folder and reads it back: lineage ends there, lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no later plan reads."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,7 @@ def crc_remainder(doc_id: Column, mod: int = 5) -> Column:
 
 def text_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes of text each; a longer single text is a range of its own."""
+    pa.set_memory_pool(pa.system_memory_pool())  # freed memory goes back at once: several workers share an executor's
     n = len(texts)
     if not n:
         return

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onceflow.llm.common import materialize
+from onceflow.llm.common import drop_scratch, materialize
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -20,11 +20,14 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     before = total(labels)
     for _ in range(most):
         near = e.join(labels, e["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("m"))
-        new = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "m").alias("comp"))
+        new = materialize(labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "m").alias("comp")), "labels")
+        # written first, so that both sides of the jump are plain shuffles, whose hot label adaptive execution can split
         up = new.select(F.col("node").alias("n"), F.col("comp").alias("c"))
-        labels = materialize(new.join(up, new["comp"] == up["n"]).select("node", F.col("c").alias("comp")), "labels")
+        old, labels = labels, materialize(new.join(up, new["comp"] == up["n"]).select("node", F.col("c").alias("comp")), "labels")
+        drop_scratch(old, new)
         now = total(labels)
         if now == before:
+            drop_scratch(e)
             return labels
         before = now
     raise RuntimeError(f"no end after {most} rounds")

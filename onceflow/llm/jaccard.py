@@ -37,8 +37,8 @@ from onceflow.llm.components import connected_components
 
 #: Shingles that a shard's block holds, about.
 BLOCK_SHINGLES = 1_000_000
-#: Rows of a chunk: places in it are 16-bit.
-_CHUNK_ROWS = 60_000
+#: Rows of a chunk, whose places in it are 16-bit, and its text.
+_CHUNK_ROWS, _CHUNK_BYTES = 60_000, 4 << 20
 #: Postings up to which short lists are merged by the heap; beyond, by counting sorted ids.
 _HEAP = 4096
 
@@ -67,7 +67,7 @@ def _scan(k: int, num: int, den: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s0, e0 in text_chunks(b.column(1)):
+            for s0, e0 in text_chunks(b.column(1), _CHUNK_BYTES):
                 for s in range(s0, e0, _CHUNK_ROWS):
                     yield from chunk(b.column(0).slice(s, min(e0, s + _CHUNK_ROWS) - s), b.column(1).slice(s, min(e0, s + _CHUNK_ROWS) - s))
 
@@ -313,6 +313,8 @@ def shard_links(docs: DataFrame, rows: DataFrame, shards: DataFrame, k: int, num
     # within its block, and against every other block of its shard
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.select("key", "shard", "block", "text", other.alias("o")).select("key", "shard", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), "text")
+    # searching costs far more than its input's bytes, by which adaptive execution would join partitions
+    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "a", "b")
     return materialize(pairs.groupBy("shard", "a", "b").applyInArrow(_links(k, num, den), "a long, b long"), "links")
 
 
