@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -129,7 +130,7 @@ def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int) -> Ite
 
 def edit_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 24, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, distance, start, end): a row for each document row and item found in it within rate * length edits."""
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    kinds, item_kind = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()), to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, start long, end long"
     out = docs.sparkSession.createDataFrame([], schema)
     for items in item_blocks(benchmark, block_items, block_bytes):
@@ -139,9 +140,9 @@ def edit_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, leas
             for b in batches:
                 rows = [(i, *m) for i, text in enumerate(b.column(1)) for m in matcher.matches(text.as_py())]
                 of, item, distance, start, end = zip(*rows, strict=True) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "distance", "start", "end"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(item, item_kind), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "distance", "start", "end"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema.replace(f"item_id {kinds[1]}", "item_id long")).withColumn("item_id", F.col("item_id").cast(kinds[1])))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
     return out
 
 
