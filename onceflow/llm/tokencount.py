@@ -54,7 +54,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, docum
                 seq = pa.array(np.arange(n, n + len(values)))
                 n += len(values)
                 yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * len(values)), seq, pa.array(values, pa.binary())], ["kind", "seq", "value"])
-                yield pa.RecordBatch.from_arrays([pa.array(["ids"] * len(ids)), seq, pa.array([(i or "").encode() for i in ids], pa.binary())], ["kind", "seq", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(["ids"] * len(ids)), seq, pa.array([b"" if i is None else b"i" + i.encode().hex().encode() for i in ids], pa.binary())], ["kind", "seq", "value"])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "kind string, seq long, value binary")
     rows = rows.sortWithinPartitions("kind", "seq").select("kind", F.col("value").cast("string").alias("value"))
@@ -82,7 +82,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     """(stream, part, content) of the files below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     name = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int")
-    return files.select(name.alias("stream"), F.regexp_extract("path", r"c(\d+)\.[^/]*$", 1).cast("int").alias("part"), "content")
+    return files.select(name.alias("stream"), F.regexp_extract("path", r"\.c(\d+)\.[^/]*$", 1).cast("int").alias("part"), "content")
 
 
 def separator_scan(files: DataFrame, block: int = BLOCK, end: int = END) -> DataFrame:
@@ -105,7 +105,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stream, part, content in zip(*b.columns, strict=True):
             ids = content.as_py().split(_SEPARATOR.encode("latin-1"))[:-1]
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([stream.as_py()] * n, pa.int32()), pa.array([part.as_py()] * n, pa.int32()), pa.array(np.arange(n)), pa.array([i.decode() or None for i in ids], pa.string())], ["stream", "part", "at", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array([stream.as_py()] * n, pa.int32()), pa.array([part.as_py()] * n, pa.int32()), pa.array(np.arange(n)), pa.array([bytes.fromhex(i[1:].decode()).decode() if i else None for i in ids], pa.string())], ["stream", "part", "at", "id"])
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, documents_a_file: int = 4096, block: int = BLOCK) -> DataFrame:

@@ -220,6 +220,9 @@ def test_token_counts_equal_the_tokenizer(spark):
     got = sorted((r.doc_id, r.n_tokens) for r in tokencount.token_counts(docs(spark, texts), documents_a_file=2, block=7).collect())
     assert got == [(i, len(enc.encode_ordinary(t or ""))) for i, t in enumerate(texts)]
     assert tokencount.token_counts(docs(spark, [])).count() == 0
+    names = ["Pā", "", None, "x"]
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(docs(spark, ["a", "b b", "", "c"], names, "string")).collect()}
+    assert got == {"Pā": 1, "": 2, None: 0, "x": 1}
 
 
 @pytest.mark.parametrize("block", [1, 2, 3, 1000])
@@ -301,3 +304,9 @@ def test_pipeline_stages(spark, tmp_path):
 def test_shingle_sets_keep_whole_texts():
     sets = jaccard.shingle_sets(pa.array(ODD), 4)
     assert [len(s) for s in sets] == [len(shingles(t, 4)) for t in ODD]
+
+
+def test_file_names_tell_stream_and_part(spark, tmp_path):
+    """The job's id in a file's name may end in a c and digits."""
+    (tmp_path / "part-00007-4fe55bb1-5b2a-4d1c-8e7f-0000000000c1.c003.txt").write_bytes(b"\x50\xc4")
+    assert [(r.stream, r.part) for r in tokencount._files(spark, str(tmp_path)).collect()] == [(7, 3)]

@@ -14,10 +14,10 @@ from onceflow.llm.components import connected_components
 ODD = [None, "", "   \t\n", "one", "two words", "x" * 200_000, "a b c d " * 20_000, "é à ü " * 30, "\x00\x1c \x85 z"]
 
 
-def docs(spark, texts, ids=None):
+def docs(spark, texts, ids=None, kind="long"):
     """With columns whose names clash with those that the operators make."""
     rows = [(i if ids is None else ids[i], t, "s", i, 0.5, "x") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, n long, score double, key string")
+    return spark.createDataFrame(rows, f"doc_id {kind}, text string, source string, n long, score double, key string")
 
 
 def prose(rng, n, words="alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()):
