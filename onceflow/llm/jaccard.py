@@ -3,10 +3,11 @@
 Documents with the same set are one key (a 64-bit signature of the sorted shingle hashes). Two keys can only link if they share a token of their
 prefixes: the first n - T + 1 tokens in a global order, T the least overlap. The order puts rare tokens
 first within regions of the hash space, so hot passages stay out of the prefixes of all but their copies. Document frequencies
-are summed from chunks that have been counted beforehand: a token, however hot, is one entry a chunk. Keys that share prefix tokens, directly or through others, form a
-shard.
+are summed from chunks that have been counted beforehand: a token, however hot, is one entry a chunk. Keys of like size that share prefix tokens, directly or through
+others, form a shard.
 
-Within a shard (or a pair of a large shard's blocks) an inverted index answers the T-occurrence problem for each document with
+A large shard is cut into blocks by size, since sets that link are of like sizes; neighbouring blocks meet in pairs.
+Within a shard (or a pair of blocks) an inverted index answers the T-occurrence problem for each document with
 DivideSkip: the L longest of its lists are set aside, the short ones are merged with a heap that skips ahead, ids that
 occur T - L times are probed in the long lists by binary search, and those that reach the overlap link. Documents already in one
 component are not compared again: of all pairs across components one member at least has been a query against all others, so no link
@@ -36,7 +37,7 @@ from onceflow.llm.common import fmix, materialize, shingle_sets, text_chunks
 from onceflow.llm.components import connected_components
 
 #: Shingles that a shard's block holds, about.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 #: Rows of a chunk, whose places in it are 16-bit, and its text.
 _CHUNK_ROWS, _CHUNK_BYTES = 60_000, 4 << 20
 #: Postings up to which short lists are merged by the heap; beyond, by counting sorted ids.
@@ -271,8 +272,7 @@ def _links(k: int, num: int, den: int):
             if len(s) and signature(s) == keys[i]:
                 first.setdefault(int(keys[i]), i)
         at = list(first.values())
-        a, b = t["a"][0].as_py(), t["b"][0].as_py()
-        side = None if a == b else (t["block"].to_numpy()[at] == b)
+        side = None if t["a"][0].as_py() == t["b"][0].as_py() else t["upper"].to_numpy()[at]
         pairs = Index([sets[i] for i in at], num, den, side).links() if len(at) > 1 else []
         return pa.table({"a": pa.array([int(keys[at[x]]) for x, _ in pairs], pa.int64()), "b": pa.array([int(keys[at[y]]) for _, y in pairs], pa.int64())})
 
@@ -297,22 +297,46 @@ def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     place = place - F.count("*").over(in_region) + F.row_number().over(in_region.orderBy("df", "token"))
     prefix = shared.withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1).select("key", "n", "token")
     prefix = materialize(prefix, "prefixes")
-    lists = prefix.groupBy("token").agg(F.min("key").alias("lead"), F.count("*").alias("c")).where("c > 1").select("token", "lead")
-    shards = connected_components(prefix.join(lists, "token").where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct())
+    shards = connected_components(candidate_edges(prefix, num, den))
     links = shard_links(docs, rows, shards, k, num, den)
     return label(rows, connected_components(links))
 
 
+def size_class(n, num: int, den: int):
+    """Sets that link differ in size by den / num at most, so by one class at most."""
+    return F.floor(F.log(n) / math.log(den / num) + 1e-9).cast("int") if num < den else n.cast("int")
+
+
+def candidate_edges(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): edges whose components hold every pair that shares a prefix token and whose sizes may link. A token's keys of
+    a class of sizes meet at their least key, and neighbouring classes at theirs."""
+    sized = prefix.select("key", "token", size_class(F.col("n"), num, den).alias("size"))
+    leads = sized.groupBy("token", "size").agg(F.min("key").alias("lead"))
+    star = sized.join(leads, ["token", "size"]).select(F.col("key").alias("a"), F.col("lead").alias("b"))
+    larger = leads.select("token", (F.col("size") - 1).alias("size"), F.col("lead").alias("b"))
+    return star.unionByName(leads.join(larger, ["token", "size"]).select(F.col("lead").alias("a"), "b")).where("a <> b").distinct()
+
+
 def shard_links(docs: DataFrame, rows: DataFrame, shards: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): keys that link, joining all that links connect; a task's unit is a shard, or two blocks of a large one."""
     reps = rows.where("key is not null").select("key", "n", "doc_id").join(shards.withColumnRenamed("node", "key").withColumnRenamed("comp", "shard"), "key")
     reps = reps.groupBy("key", "shard", "n").agg(F.min("doc_id").alias("rep"))
-    size = reps.groupBy("shard").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    reps = reps.join(size, "shard").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "shard", "block", "blocks", "text")
-    # within its block, and against every other block of its shard
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = texts.select("key", "shard", "block", "text", other.alias("o")).select("key", "shard", "block", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), "text")
+    # a large shard is cut by classes of sizes, and a class that is still large into parts
+    whole = reps.groupBy("shard").agg((F.sum("n") > BLOCK_SHINGLES).alias("large"))
+    reps = reps.join(whole, "shard").withColumn("size", F.when(F.col("large"), size_class(F.col("n"), num, den)).otherwise(F.lit(0)))
+    parts = reps.groupBy("shard", "size").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    beside = [parts.select("shard", (F.col("size") - d).alias("size"), F.col("parts").alias(name)) for d, name in ((1, "above"), (-1, "below"))]
+    reps = reps.join(parts, ["shard", "size"])
+    for side in beside:
+        reps = reps.join(side, ["shard", "size"], "left")
+    part = F.pmod(F.xxhash64("key"), "parts").cast("int")
+    block = lambda d, i: F.struct((F.col("size") + d).alias("size"), i.cast("int").alias("part"))
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(F.coalesce(n, F.lit(1)) - 1, F.lit(0)))
+    others = lambda d, n: F.when(n > 0, F.transform(upto(n), lambda i: block(d, i))).otherwise(F.array().cast("array<struct<size:int,part:int>>"))
+    reps = reps.withColumn("block", block(0, part)).withColumn("meets", F.concat(others(0, F.col("parts")), others(1, F.col("above")), others(-1, F.col("below"))))
+    texts = docs.select("doc_id", "text").join(reps.select("key", "shard", "block", "meets", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "shard", "block", "meets", "text")
+    # within its block, and against every block of its class and of the classes beside
+    pairs = texts.select("key", "shard", "block", "text", F.explode("meets").alias("o")).select("key", "shard", (F.col("block") == F.greatest("block", "o")).alias("upper"), F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), "text")
     # searching costs far more than its input's bytes, by which adaptive execution would join partitions
     pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "a", "b")
     return materialize(pairs.groupBy("shard", "a", "b").applyInArrow(_links(k, num, den), "a long, b long"), "links")
