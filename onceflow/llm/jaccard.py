@@ -319,8 +319,8 @@ def candidate_edges(prefix: DataFrame, num: int, den: int) -> DataFrame:
 
 def shard_links(docs: DataFrame, rows: DataFrame, shards: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): keys that link, joining all that links connect; a task's unit is a shard, or two blocks of a large one."""
-    reps = rows.where("key is not null").select("key", "n", "doc_id").join(shards.withColumnRenamed("node", "key").withColumnRenamed("comp", "shard"), "key")
-    reps = reps.groupBy("key", "shard", "n").agg(F.min("doc_id").alias("rep"))
+    reps = rows.where("key is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"))  # before the join: a key may have any number of copies
+    reps = reps.join(shards.withColumnRenamed("node", "key").withColumnRenamed("comp", "shard"), "key")
     # a large shard is cut by classes of sizes, and a class that is still large into parts
     whole = reps.groupBy("shard").agg((F.sum("n") > BLOCK_SHINGLES).alias("large"))
     reps = reps.join(whole, "shard").withColumn("size", F.when(F.col("large"), size_class(F.col("n"), num, den)).otherwise(F.lit(0)))
