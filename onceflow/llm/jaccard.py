@@ -321,14 +321,15 @@ def shard_links(docs: DataFrame, rows: DataFrame, shards: DataFrame, k: int, num
     """(a, b): keys that link, joining all that links connect; a task's unit is a shard, or two blocks of a large one."""
     reps = rows.where("key is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"))  # before the join: a key may have any number of copies
     reps = reps.join(shards.withColumnRenamed("node", "key").withColumnRenamed("comp", "shard"), "key")
-    # a large shard is cut by classes of sizes, and a class that is still large into parts
-    whole = reps.groupBy("shard").agg((F.sum("n") > BLOCK_SHINGLES).alias("large"))
-    reps = reps.join(whole, "shard").withColumn("size", F.when(F.col("large"), size_class(F.col("n"), num, den)).otherwise(F.lit(0)))
-    parts = reps.groupBy("shard", "size").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    beside = [parts.select("shard", (F.col("size") - d).alias("size"), F.col("parts").alias(name)) for d, name in ((1, "above"), (-1, "below"))]
-    reps = reps.join(parts, ["shard", "size"])
-    for side in beside:
-        reps = reps.join(side, ["shard", "size"], "left")
+    # a large shard is cut by classes of sizes, and a class that is still large into parts; the plan of this has a row a shard and class
+    reps = reps.withColumn("class", size_class(F.col("n"), num, den))
+    plan = reps.groupBy("shard", "class").agg(F.sum("n").alias("s"))
+    plan = plan.join(plan.groupBy("shard").agg((F.sum("s") > BLOCK_SHINGLES).alias("large")), "shard")
+    plan = plan.select("shard", "class", "large", F.when(F.col("large"), F.col("class")).otherwise(F.lit(0)).alias("size"), F.when(F.col("large"), F.ceil(F.col("s") / BLOCK_SHINGLES)).otherwise(F.lit(1)).cast("int").alias("parts"))
+    for d, name in ((1, "above"), (-1, "below")):
+        beside = plan.where("large").select("shard", (F.col("class") - d).alias("class"), F.lit(True).alias("large"), F.col("parts").alias(name))
+        plan = plan.join(beside, ["shard", "class", "large"], "left")
+    reps = reps.join(plan, ["shard", "class"])
     part = F.pmod(F.xxhash64("key"), "parts").cast("int")
     block = lambda d, i: F.struct((F.col("size") + d).alias("size"), i.cast("int").alias("part"))
     upto = lambda n: F.sequence(F.lit(0), F.greatest(F.coalesce(n, F.lit(1)) - 1, F.lit(0)))
