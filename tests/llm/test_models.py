@@ -118,6 +118,45 @@ def test_windows_score_each_id_once():
     assert math.isclose(p.sum(), 1, rel_tol=1e-4) and math.isclose((10 ** model.within.astype(float)).sum(), lm.SLOTS, rel_tol=1e-3)
 
 
+def test_attention_learns_from_every_window(spark):
+    """Every id that a training text holds anywhere moves its row of the embedding, whatever the bound on what one task learns."""
+    sub = lm.Subwords(lm.VOCABULARY)
+    words = [w for w in (sub.enc.decode([i]).strip() for i in range(1000, 1900)) if w.isascii() and w.isalpha() and w.islower()]
+    texts = [" ".join(words[i::7] * 3) for i in range(7)] + ["one long text", " ".join(words * 8)]
+    d = docs(spark, texts).repartition(3)
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    model = lm.train(d, documents=2, windows=4)
+    ids = {x for t in train for x in sub([w.encode() for w in t.split()])[0].tolist()[:-1]}
+    before = (np.random.default_rng(5).standard_normal((lm.SLOTS + 1, lm.WIDTH)) * 0.1).astype(np.float32)
+    assert len(train) >= 5 and len(ids) > 200
+    assert all((model.weights["embed"][model.slot[i]] != before[model.slot[i]]).any() for i in ids)
+    again = lm.train(d, documents=2, windows=4)
+    assert all(np.allclose(model.weights[k], again.weights[k], atol=1e-3) for k in model.weights)
+
+
+def test_windows_and_counts_cover_all_training_texts(spark):
+    rng = random.Random(8)
+    texts = [*ODD[:4], "", None, *[prose(rng, rng.randrange(1, 300)) for _ in range(30)], "x y " * 5_000]
+    sub = lm.Subwords(lm.VOCABULARY)
+    want, counts, pairs = Counter(), Counter(), Counter()
+    slot = lm.slots_of(np.arange(lm.END + 1), sub.begins)
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            ids = [lm._START, *sub((t or "").encode().lower().split())[0].tolist(), lm.END]
+            want.update(tuple(ids[k : k + lm.WINDOW + 1]) for k in range(0, len(ids) - 1, lm.WINDOW))
+            counts.update(ids[1:])
+            pairs.update((lm.SLOTS if a == lm._START else int(slot[a]), int(slot[b])) for a, b in zip(ids, ids[1:], strict=False))
+    rows = lm.training_windows(docs(spark, texts), lm.VOCABULARY, 1)
+    got = Counter()
+    for r in rows.collect():
+        got.update(tuple(x.tolist()) for x in np.split(np.frombuffer(r.ids, "<u2"), np.cumsum(np.frombuffer(r.sizes, "u1"), dtype=int)[:-1]))
+    assert got == want
+    total, n = lm.id_counts(rows)
+    assert n == sum(want.values()) and Counter(dict(enumerate(total.tolist()))) == counts
+    table = lm.pair_counts(rows, slot)
+    assert table.sum() == sum(pairs.values()) and all(table[k] == x for k, x in pairs.items())
+
+
 # -- mixing
 
 
