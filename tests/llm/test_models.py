@@ -157,6 +157,18 @@ def test_windows_and_counts_cover_all_training_texts(spark):
     assert table.sum() == sum(pairs.values()) and all(table[k] == x for k, x in pairs.items())
 
 
+def test_outputs_go_to_ids_frequent_in_the_corpus(spark):
+    """An id that is frequent only beyond the first windows of a long text has an output of its own."""
+    sub = lm.Subwords(lm.VOCABULARY)
+    words = [w for w in (sub.enc.decode([i]).strip() for i in range(20_000, 24_000)) if w.isascii() and w.isalpha() and w.islower()]
+    often = words[-20:]
+    late = [" ".join([*words[:1500], *(often * 40)])] * 4
+    model = lm.train(docs(spark, late, [2, 3, 4, 5]), documents=1, windows=2)
+    ids = [x for w in often for x in sub([w.encode()])[0].tolist()]
+    shared = np.bincount(model.slot, minlength=lm.SLOTS)
+    assert any(zlib.crc32(str(i).encode()) % 5 != 1 for i in (2, 3, 4, 5)) and all(shared[model.slot[i]] == 1 for i in ids)
+
+
 # -- mixing
 
 
