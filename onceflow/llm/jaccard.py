@@ -355,13 +355,17 @@ def label(rows: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of each component stays, with all its columns: the row with the smallest id, once if the id repeats.
-    Rows without an id stay."""
-    found = materialize(near_duplicates(docs, k, num, den), "near-duplicates")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row of each component stays, with all its columns: the row with the smallest id, one of them if the id repeats.
+    Ids that repeat with different texts are different rows. Rows without an id stay."""
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not twice.take(1):
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        found = materialize(near_duplicates(docs, k, num, den), "near-duplicates")
+        gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows are told apart by numbers, written once so that they stay the same
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias("__row"), "component_id")
+    found = materialize(found.join(rows.where("doc_id is not null").select("__row", "doc_id"), "__row"), "near-duplicates")
+    stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("stay")).select("stay.__row")
+    gone = found.select("__row").join(stay, "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)

@@ -198,3 +198,12 @@ def test_components_of_chains_and_stars(spark):
 
 def test_shared_columns_do_not_matter(spark):
     assert jaccard.near_duplicates(docs(spark, ["a b c d e"])).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_ids_that_repeat_with_different_texts(spark):
+    """A row goes for its own text's sake, not for that of another row with its id."""
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    kept = jaccard.drop_near_duplicates(docs(spark, [a, a, b, c, d, d, a], [1, 2, 2, 3, 3, 3, None]))
+    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect()) == sorted([(1, a), (2, b), (3, c), (3, d)])
+    assert [r.text for r in kept.where("doc_id is null").collect()] == [a]
