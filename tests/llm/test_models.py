@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -298,26 +299,65 @@ def test_scan_stitches_blocks_and_files(spark, block):
 # -- top-k
 
 
+def top(rows, k=20, scale=64):
+    """Brute force in Python's integers."""
+    usable = lambda v: v and all(c is not None and math.isfinite(c) for c in v)
+    good = [(i, [math.floor(Fraction(c) * scale) for c in v]) for i, v, _ in rows if i is not None and usable(v)]
+    out = []
+    for a, (q, v) in enumerate(good):
+        if q % 20 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for b, (i, w) in enumerate(good) if b != a and len(w) == len(v))[:k]
+            out += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+ODD_VECTORS = [(1000, None, 0), (1040, [float("nan")] * 12, 0), (1060, [float("inf")] + [0.0] * 11, 0), (1080, [], 0), (2000, [0.5, 0.5], 0), (2001, [0.25, 1.0], 0)]
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 64)
-    monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 64 * 8 * 12)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 10 * 8 * 12)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 12)) * 0.2
     x[50:90] = x[50]  # one very common vector
-    rows = [(i, v.tolist(), i) for i, v in enumerate(x)]
-    rows += [(None, x[0].tolist(), 0), (1000, None, 0), (1020, [1.0, None] * 6, 0), (1040, [float("nan")] * 12, 0), (1060, [float("inf")] * 12, 0), (1080, [], 0), (2000, [0.5, 0.5], 0), (2001, [0.25, 1.0], 0), (20, x[7].tolist(), 0), (20, x[7].tolist(), 0)]
+    rows = [(i, v.tolist(), i) for i, v in enumerate(x)] + ODD_VECTORS
+    rows += [(None, x[0].tolist(), 0), (1020, [1.0, None] * 6, 0), (20, x[7].tolist(), 0), (20, x[7].tolist(), 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    good = [(i, np.floor(np.array(v) * 64)) for i, v, _ in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
-    want = []
-    for a, (q, v) in enumerate(good):
-        if q % 20 == 0:
-            scores = sorted((-int(v @ w), i) for b, (i, w) in enumerate(good) if b != a and len(w) == len(v))[:20]
-            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
-    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0).collect()))
-    assert got == sorted(want)
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0).collect())) == top(rows)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0 and topk.top_k(df, F.lit(False)).count() == 0
 
 
+def test_top_k_takes_every_finite_vector(spark):
+    """Components of any size, of either sign: exact scores, and the nearest long for those beyond one."""
+    rng = np.random.default_rng(2)
+    sizes = [1.0, 1e5, 1e9, 1e12, 1e15, 1e17, 1e150, 1.7e308, 3e-300]
+    rows = [(i, (rng.uniform(-1, 1, 3) * sizes[i % len(sizes)]).tolist(), 0) for i in range(80)]
+    rows += [(100, [1.0, 2.0, 0.0], 0), (101, [1e9, 1.0, 0.0], 0), (120, [2.0**53 / 64] * 3, 0), (121, [(2.0**53 - 1) / 64] * 3, 0), (140, [-1e300, 0.0, 1e300], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0).collect()))
+    assert got == top(rows)
+    assert (100, 1, 101) in {r[:3] for r in topk.top_k(df.where("vec_id in (100, 101)"), F.col("vec_id") == 100).collect()}
+
+
+@pytest.mark.parametrize("kind", [np.float64, np.int64, object])
+def test_max_score_skips_postings(kind):
+    """The same as brute force, in every kind of numbers, while few postings of the non-essential terms are touched."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-40, 40, (600, 24)) * (rng.random((600, 24)) < 0.5)
+    x[:, :4] *= 20  # some terms decide
+    x = x.astype(kind) if kind is not object else np.array([[int(c) for c in r] for r in x], object)
+    shard, scanned = topk.Shard(x), 0
+    for q in range(0, 600, 40):
+        floor = None
+        want = sorted((-int(s), i) for i, s in enumerate((x @ x[q]).tolist()) if i != q)[:5]
+        for _ in range(2):  # without a threshold, and with the k-th best score as one
+            places, scores = shard.search(x[q], 5, floor, q)
+            assert [(-int(s), int(i)) for s, i in zip(scores, places, strict=True)] == want
+            floor = -want[-1][0]
+            scanned += shard.total
+    assert 0 < shard.touched < 0.8 * scanned
+
+
 # -- the pipeline
 
 
