@@ -40,11 +40,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes a table to the shared scratch folder and reads it back: lineage ends there, lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -57,6 +57,12 @@ def drop_scratch(*tables: DataFrame) -> None:
         p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def scratch_bytes(df: DataFrame) -> int:
+    """Bytes that a materialized table has on disk."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,6 +112,12 @@ def coded(flat: pa.Array) -> tuple[np.ndarray, list[bytes]]:
     return d.indices.to_numpy().astype(np.int64), d.dictionary.cast(pa.large_binary()).to_pylist()
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each range, in a row."""
+    total = np.cumsum(sizes)
+    return np.repeat(starts - np.concatenate([[0], total[:-1]]), sizes) + np.arange(total[-1] if len(total) else 0)
+
+
 def fmix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finalizer of MurmurHash3, on uint64 arrays."""
     h = h ^ (h >> np.uint64(33))

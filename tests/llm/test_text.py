@@ -170,23 +170,56 @@ def test_join_odd_tables(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(d).collect() if r.n_shingles)
     assert got == [(-1, 5, 3), (3, 5, 3), (3, 5, 3), (9, 5, 3)]
     kept = jaccard.drop_near_duplicates(d)
-    assert kept.columns == d.columns and sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, ""), (-1, text), (3, text)] or sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 3, 4]
+    assert kept.columns == d.columns and sorted((r.doc_id or -1, (r.text or "").strip()) for r in kept.collect()) == [(-1, ""), (3, text), (4, "")]
+    nameless = jaccard.drop_near_duplicates(docs(spark, [text, text, None, "z"], ids=[None] * 4)).collect()
+    assert sorted(r.text or "" for r in nameless) == ["", text, "z"]
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0 and jaccard.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("heap", [0, 10**9])
-def test_index_finds_all_that_reach_the_overlap(monkeypatch, heap):
+@pytest.mark.parametrize("window", [8, 1 << 13])
+def test_index_finds_all_that_reach_the_overlap(monkeypatch, window):
     import numpy as np
 
-    monkeypatch.setattr(jaccard, "_HEAP", heap)
-    rng = np.random.default_rng(heap % 7)
-    for _ in range(15):
+    monkeypatch.setattr(jaccard, "_WINDOW", window)
+    rng = np.random.default_rng(window)
+    for size in [25] * 12 + [300]:
         base = rng.integers(0, 1 << 60, 80).astype(np.uint64)
-        sets = [np.unique(np.where(rng.random(80) < rng.choice([0, 0.05, 0.1, 0.3]), rng.integers(0, 1 << 60, 80).astype(np.uint64), base)[: rng.integers(5, 80)]) for _ in range(25)]
+        other = lambda: rng.integers(0, 1 << 60, 80).astype(np.uint64)  # noqa: B023, E731
+        sets = [np.unique(np.where(rng.random(80) < rng.choice([0, 0.05, 0.1, 0.3]), other(), base)[: rng.integers(5, 80)]) for _ in range(size)]
         index = jaccard.Index(sets, 85, 100)
-        for q in range(25):
-            want = [j for j in range(25) if j != q and 100 * len(np.intersect1d(sets[q], sets[j])) >= 85 * len(np.union1d(sets[q], sets[j]))]
-            assert sorted(index.search(q, np.ones(25, bool)).tolist()) == want
+        for q in range(0, size, max(1, size // 25)):
+            want = [j for j in range(size) if j != q and 100 * len(np.intersect1d(sets[q], sets[j])) >= 85 * len(np.union1d(sets[q], sets[j]))]
+            assert sorted(index.search(q, np.ones(size, bool)).tolist()) == want
+
+
+def test_null_ids_cost_what_own_ids_cost(spark, monkeypatch, tmp_path):
+    """Near copies without ids, or with one id, send each text into the pair step once, as with own ids."""
+    rng = random.Random(6)
+    base = prose(rng, 80).split()
+    texts = []
+    for i in range(40):
+        w = list(base)
+        w[i] = f"v{i}"
+        texts.append(" ".join(w))
+    seen = []
+    real = jaccard._links
+
+    def counted(*args):
+        run, log = real(*args), str(tmp_path / f"log{len(seen)}")
+        seen.append(log)
+
+        def links(t):
+            with open(log, "a") as f:
+                f.write(f"{t.num_rows}\n")
+            return run(t)
+
+        return links
+
+    monkeypatch.setattr(jaccard, "_links", counted)
+    for ids in (list(range(40)), [None] * 40, [7] * 40):
+        found = jaccard.near_duplicates(docs(spark, texts, ids)).collect()
+        assert len(found) == 40 and {r.component_id for r in found} == {ids[0]}
+    assert {sum(map(int, open(log))) for log in seen} == {40}
 
 
 def test_components_of_chains_and_stars(spark):
@@ -203,7 +236,6 @@ def test_shared_columns_do_not_matter(spark):
 def test_ids_that_repeat_with_different_texts(spark):
     """A row goes for its own text's sake, not for that of another row with its id."""
     rng = random.Random(12)
-    a, b, c, d = (prose(rng, 60) for _ in range(4))
-    kept = jaccard.drop_near_duplicates(docs(spark, [a, a, b, c, d, d, a], [1, 2, 2, 3, 3, 3, None]))
-    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect()) == sorted([(1, a), (2, b), (3, c), (3, d)])
-    assert [r.text for r in kept.where("doc_id is null").collect()] == [a]
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    kept = jaccard.drop_near_duplicates(docs(spark, [a, a, b, c, d, d, a, e], [1, 2, 2, 3, 3, 3, None, None]))
+    assert sorted((r.doc_id or 9, r.text) for r in kept.collect()) == sorted([(1, a), (2, b), (3, c), (3, d), (9, e)])
