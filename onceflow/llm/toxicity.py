@@ -7,7 +7,8 @@ logistic of their mean.
 
 Only fitting samples: at most `positives` toxic rows and `unlabelled` other rows, bounded parameters. Every text is scored
 whole. Defined results: null and empty texts have no words and get the bias's score, as any text without a telling word;
-with no positives the score is the prior for every text; repeated rows get equal scores.
+with no positives the score is the prior for every text; repeated rows get equal scores; ids may be of any type that sorts; an id that repeats
+with different texts gives the sample the least of them.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from onceflow.llm.common import coded, crc_remainder, lower_words, materialize,
 BITS = 24
 #: Lengths of the beginnings of words that are features beside whole words, in characters.
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: A feature counts so many distinct words of a text at most.
-MOST = 6
 LENGTHS = 20  # features 0 to 19: one for each power of two in the number of words
 _EDGE = b"".join(bytes([b]) for b in range(128) if not chr(b).isalnum())
 
@@ -47,7 +46,8 @@ def _length_ids(base: np.ndarray) -> np.ndarray:
 
 
 def document_features(texts: pa.Array, chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, feature, distinct words with it) of the texts, in chunks; chosen: sorted ids, and features are places in it."""
+    """(text, feature, value) of the texts, in chunks: the value is log2 of one and the distinct words with the feature. chosen: sorted ids,
+    and features are places in it."""
     for s, e in text_chunks(texts):
         flat, base = lower_words(texts.slice(s, e - s))
         codes, words = coded(flat)
@@ -64,7 +64,7 @@ def document_features(texts: pa.Array, chosen: np.ndarray | None = None) -> Iter
         many, of = many.ravel(), of[: many.size]
         pair, times = np.unique(of[many >= 0] << 32 | many[many >= 0], return_counts=True)
         length = np.arange(e - s) << 32 | (_length_ids(base) if chosen is None else np.searchsorted(chosen, _length_ids(base)))
-        pair, times = np.concatenate([pair, length]), np.concatenate([np.minimum(times, MOST), np.ones(e - s, np.int64)])
+        pair, times = np.concatenate([pair, length]), np.concatenate([np.log2(1 + times), np.ones(e - s)])
         yield s + (pair >> 32), pair & 0xFFFFFFFF, times
 
 
@@ -104,7 +104,7 @@ def _fit_one(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, positive: np.
 
 def fit(chosen: np.ndarray, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, positive: np.ndarray, prior: float, *, steps: int = 400, models: int = 3) -> Model:
     """The mean of several classifiers, each learnt from part of the sample."""
-    prior = float(np.clip(prior, 1e-4, 0.5))
+    prior = float(np.clip(prior, 1e-4, 1 - 1e-4))
     positive = np.asarray(positive, bool)
     if not positive.any() or positive.all() or len(chosen) <= LENGTHS:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, unlabell
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_remainder(F.col("doc_id")) != 0))
     marks = marks.groupBy("doc_id").agg(F.min("toxic").alias("__y"), F.max("toxic").alias("__z")).where("__y = __z").select("doc_id", "__y")
     n, n_toxic = marks.agg(F.count("*"), F.coalesce(F.sum("__y"), F.lit(0))).first()
-    prior = float(np.clip(n_toxic / max(1, n), 1e-4, 0.5))
+    prior = float(np.clip(n_toxic / max(1, n), 1e-4, 1 - 1e-4))
     few = lambda df, most: df.select("doc_id").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").limit(most)
     p = few(marks.where("__y = 1"), positives).withColumn("p", F.lit(1))
     u = few(docs.where(F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id")) != 0)), unlabelled).withColumn("p", F.lit(0))
@@ -137,7 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, unlabell
         return fit(np.zeros(0), *[np.zeros(0)] * 3, np.zeros(0), prior)
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     chosen = spark.createDataFrame(ids, f"doc_id {kind}, p int")
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "p"]), "toxicity-sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id that repeats counts once, with the least of its texts
+    sample = sample.groupBy("doc_id", "p").agg(F.min("text").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    sample = materialize(sample, "toxicity-sample")
     n_p, n_u = sample.agg(F.count_if(F.col("p") == 1), F.count_if(F.col("p") == 0)).first()
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +159,17 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, unlabell
     kept = np.concatenate([np.arange(LENGTHS), np.sort(np.array([r[0] for r in best.collect()], np.int64))])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "doc_id", "p", "f", "v"]
         for b in batches:
-            for doc, feature, times in document_features(b.column(2), kept):
+            for doc, feature, value in document_features(b.column(3), kept):
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(feature.astype(np.int32)), pa.array(times.astype(np.int32))], ["doc_id", "p", "f", "v"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), pa.array(feature.astype(np.int32)), pa.array(value)], names)
 
-    rows = sample.select("doc_id", "p", "text").mapInArrow(sparse, f"doc_id {kind}, p int, f int, v int").toArrow()
+    rows = sample.select("row", "doc_id", "p", "text").mapInArrow(sparse, f"row long, doc_id {kind}, p int, f int, v double").toArrow()
     rows = rows.sort_by([("p", "descending"), ("doc_id", "ascending"), ("f", "ascending")])
-    key = rows["doc_id"].to_numpy() * 2 + rows["p"].to_numpy() if len(rows) else np.zeros(0)
+    key = rows["row"].to_numpy()
     first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    return fit(kept, np.cumsum(first) - 1, rows["f"].to_numpy(), rows["v"].to_numpy().astype(float), rows["p"].to_numpy()[first] == 1, prior)
+    return fit(kept, np.cumsum(first) - 1, rows["f"].to_numpy(), rows["v"].to_numpy(), rows["p"].to_numpy()[first] == 1, prior)
 
 
 def score_column(model: Model, text: Column) -> Column:
