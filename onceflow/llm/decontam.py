@@ -5,10 +5,11 @@ it holds one of them exactly. One Aho-Corasick automaton finds all pieces of a b
 around each hit, Myers' bit-parallel algorithm gives the least edit distance of the item to any passage there.
 
 Folding lowers A-Z and puts one blank for every run of other ASCII characters than letters and digits. Items go to the
-executors in blocks of at most `block_items` items and `block_bytes` bytes, a pass over the documents each, so what is broadcast has a fixed bound.
+executors in blocks of at most `block_items` items and `block_bytes` bytes, a pass over the documents each. A block is dropped when its pass has been
+written, so that neither the driver nor a task ever holds more than one.
 
-Defined results: null or empty texts and items match nothing; items shorter than `least` bytes must stand exactly, as whole words; an
-item whose id is null is matched with a null id; repeated rows give repeated matches; an empty benchmark matches nothing;
+Defined results: null or empty texts and items match nothing; an item too short for an edit (k = 0) must stand exactly, as whole words; of
+passages equally close the one found first counts; an item whose id is null is matched with a null id; repeated rows give repeated matches; an empty benchmark matches nothing;
 only the id and the text columns are read.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from onceflow.llm.common import drop_scratch, materialize, scratch_path
+
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -57,7 +60,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int | None, str]], rate: float, least: int):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
         import ahocorasick
 
         self.items = []  # id, folded text, edits allowed
@@ -66,10 +69,10 @@ class Matcher:
             t = fold(text)
             if not t:
                 continue
-            k = int(len(t) * rate) if len(t) >= least else 0
+            k = int(len(t) * rate)
             n = len(self.items)
             self.items.append((item_id, t, k))
-            if len(t) < least:
+            if not k:
                 at[f" {t} "].append((n, -1))
             else:
                 for j in range(k + 1):
@@ -128,35 +131,49 @@ def item_blocks(benchmark: DataFrame, block_items: int, block_bytes: int) -> Ite
         yield block
 
 
-def edit_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 24, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
+def edit_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, distance, start, end): a row for each document row and item found in it within rate * length edits."""
-    kinds, item_kind = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()), to_arrow_type(benchmark.schema["item_id"].dataType)
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, start long, end long"
-    out = docs.sparkSession.createDataFrame([], schema)
+    spark, id_kind, item_kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    schema = f"doc_id {id_kind}, item_id {item_kind.simpleString()}, distance int, start long, end long"
+    path = scratch_path(spark, "edit-matches")
+    spark.createDataFrame([], schema).write.parquet(path)
     for items in item_blocks(benchmark, block_items, block_bytes):
+        docs.select("doc_id", "text").mapInArrow(_found(items, rate, to_arrow_type(item_kind)), schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _found(items: list[tuple[int | None, str]], rate: float, item_kind: pa.DataType):
+    names = ["doc_id", "item_id", "distance", "start", "end"]
 
-        def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate, least)
-            for b in batches:
-                rows = [(i, *m) for i, text in enumerate(b.column(1)) for m in matcher.matches(text.as_py())]
-                of, item, distance, start, end = zip(*rows, strict=True) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(item, item_kind), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "distance", "start", "end"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, rate)
+        for b in batches:
+            rows = [(i, *m) for i, text in enumerate(b.column(1)) for m in matcher.matches(text.as_py())]
+            of, item, distance, start, end = zip(*rows, strict=True) if rows else ((),) * 5
+            ids = b.column(0).take(pa.array(of, pa.int64()))
+            places = [pa.array(start, pa.int64()), pa.array(end, pa.int64())]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_kind), pa.array(distance, pa.int32()), *places], names)
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return out
+    return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 24, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows that hold no item, with all their columns."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows that hold no item, with all their columns. What a block leaves is written before the next one comes."""
+    last, written = None, None
     for items in item_blocks(benchmark, block_items, block_bytes):
-        docs = docs.where(_clean(items, rate, least)(docs["text"]))
-    return docs
+        if last is not None:
+            before, docs = written, materialize(docs.where(_clean(last, rate)(docs["text"])), "clean-so-far")
+            written = docs
+            if before is not None:
+                drop_scratch(before)
+        last = items
+    return docs if last is None else docs.where(_clean(last, rate)(docs["text"]))
 
 
-def _clean(items: list[tuple[int | None, str]], rate: float, least: int):
+def _clean(items: list[tuple[int | None, str]], rate: float):
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(items, rate, least)
+        matcher = Matcher(items, rate)
         for texts in batches:
             yield pa.array([not matcher.matches(t.as_py()) for t in texts], pa.bool_())
 
