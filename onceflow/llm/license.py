@@ -182,7 +182,7 @@ def scan_batch(scanner: Scanner, ids: pa.Array, texts: pa.Array) -> pa.RecordBat
         is_word = _WORD[np.frombuffer(raw, np.uint8)]
         starts = is_word & ~np.concatenate([[False], is_word[:-1]]) if len(raw) else is_word
         places, matches = scanner.scan(raw.translate(_FOLD))
-        at = [int(np.count_nonzero(starts[:o])) for _, o in places]
+        at = (np.cumsum(starts)[[o for _, o in places]] - 1).tolist() if places else []
         base = {label for label, _ in places}
         every = base | {m[0] for m in matches}
         rows["n_words"].append(int(np.count_nonzero(starts)))
@@ -207,3 +207,47 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def _sql_words(text: str) -> str:
+    """The words of a text, A-Z lowered, in DuckDB."""
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"coalesce(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+
+def template_pattern(wording: str) -> str:
+    """A template as a regular expression over words that stand between bars; a replaceable region is its group 1."""
+    out = []
+    for part in re.findall(r"<<[^>]*>>|[^\s<]+", wording.lower()):
+        if part == "<<beginoptional>>":
+            out.append("(?:")
+        elif part == "<<endoptional>>":
+            out.append(")?")
+        elif part.startswith("<<var"):
+            out.append(rf"((?:\|[^|]+\|){{1,{re.search(r'match=([0-9]+)', part)[1]}}})")
+        else:
+            out.append(rf"\|{part}\|")
+    return "".join(out)
+
+
+def oracle(templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES) -> str:
+    """The same rows in DuckDB SQL: base places by comparing words, templates as regular expressions."""
+    count = lambda x: f"(len({x}) - len(replace({x}, '|', ''))) // 2"
+    at = {
+        label: "[i FOR i IN range(len(w)) IF " + " AND ".join(f"w[i + {n + 1}] = '{word}'" for n, word in enumerate(p.split())) + "]" for label, p in phrases.items()
+    }
+    found = [(label, template_pattern(t)) for label, all_of in templates.items() for t in all_of]
+    groups = lambda p: f"{count(f'regexp_extract(m, {chr(39)}{p}{chr(39)}, 1)')}" if "((?:" in p else "0"
+    shares = ", ".join(f"list_max([CAST({count('m')} - {groups(p)} AS DOUBLE) / ({count('m')}) FOR m IN regexp_extract_all(s, '{p}')])" for _, p in found)
+    # the length of a pattern's matches counts fixed and free words; group 1 holds the free ones
+    base = " || ".join(f"CASE WHEN len(at_{i}) > 0 THEN ['{label}'] ELSE [] END" for i, label in enumerate(at))
+    more = " || ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN ['{label}'] ELSE [] END" for label, p in found)
+    places = " || ".join(f"at_{i}" for i in range(len(at)))
+    return f"""
+WITH w AS (SELECT doc_id, {_sql_words('text')} AS w FROM documents),
+     s AS (SELECT *, array_to_string([concat('|', x, '|') FOR x IN w], '') AS s, {', '.join(f'{x} AS at_{i}' for i, x in enumerate(at.values()))} FROM w),
+     l AS (SELECT *, {places} AS places, {base} AS base, {base} || {more} AS every, [{shares}] AS shares FROM s)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(every)), ',') AS labels,
+       greatest(CASE WHEN len(base) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END, coalesce(list_max(shares), 0.0::DOUBLE)) AS score
+FROM l"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onceflow.llm.common import table
+from onceflow.llm.license import oracle as license_oracle
 from onceflow.llm.mixing import ORACLE as MIX
 
 
@@ -69,7 +70,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_attention_lm": op3_attention_lm, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op8_separator_scan": op8_separator_scan, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_warc_index_merge": op7_warc_index_merge, "op1_source_mix": op1_source_mix, "op9_max_score_top_k": op9_max_score_top_k, "op2_quality_classifier": op2_quality_classifier, "op4_toxicity": op4_toxicity, "op10_license_scan": op10_license_scan}
+_ALL = (
+    op1_source_mix, op2_quality_classifier, op3_attention_lm, op4_toxicity, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_warc_index_merge, op8_separator_scan,
+    op9_max_score_top_k, op10_license_scan,
+)
+QUERIES = {q.__name__: q for q in _ALL}
 ORACLES: dict[str, str] = {
     "op5_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -89,6 +94,7 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM d""",
     "op1_source_mix": MIX,
+    "op10_license_scan": license_oracle(),
     "op9_max_score_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, row_number() OVER () AS r
            FROM embeddings

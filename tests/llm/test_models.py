@@ -384,7 +384,7 @@ def test_pipeline_stages(spark, tmp_path):
     before = sorted(kept[2][2])
     groups = components([kept[2][2][i] for i in before], 5, 80, 100)
     assert set(kept[2][3]) == {i for n, i in enumerate(before) if groups[n][1] == n}
-    matcher = decontam.Matcher([(0, item)], 0.08, 24)
+    matcher = decontam.Matcher([(0, item)], 0.08)
     assert set(kept[3][3]) == {i for i, x in kept[3][2].items() if not matcher.matches(x)} and not any(item in (x or "") for x in kept[3][3].values())
     final = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(final) == set(kept[3][3])
