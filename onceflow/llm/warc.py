@@ -1,12 +1,13 @@
 """WARC archives and their capture index.
 
-Pages become WARC/1.1 records: a response with the payload, or a revisit (identical payload digest) that refers to the
-response of an equal payload. Spark's text sink writes them, gzipped, to a folder that the whole cluster sees, with the record
-separator as line separator, so its commit protocol covers lost executors.
+Pages become WARC/1.1 records: a response with the payload, or a revisit (identical payload digest) that refers to the response of an equal payload. Each record
+is a gzip member of its own, so that a reader may begin at any; archives are cut by their bytes. Spark's text sink writes them to a folder that the whole
+cluster sees, with an empty gzip member as line separator, so its commit protocol covers lost executors.
 
-Reading parses the archives by Content-Length and checks every payload's digest. Each archive gives a run of captures, sorted
-by URL key and time. Range partitioning by (URL key, time, id) deals the runs to tasks in global order; every task merges its k runs with a
-loser tree, so the output is a globally ordered capture history. A URL key of any number of captures may cross tasks.
+Reading parses the archives by Content-Length and checks every payload's digest. Each archive gives a run of captures, sorted by URL key and time and written to scratch.
+The merge is external: range partitioning by (URL key, time, id) deals the runs to tasks in global order, Spark's sorter, which spills, puts a task's piece of each run
+in a row, and the task merges the k pieces with a loser tree, so the output is a globally ordered capture history. A URL key of any number of captures may cross
+tasks; a task holds about `rows_a_task` rows of the index, and no payload.
 
 Defined results: a null payload is empty; a null url has the empty key; of equal payloads of `least` bytes and more the
 rows with the largest id are responses (all of them, if the id repeats, or if no row has one) and the others refer to it; smaller payloads are all
@@ -15,13 +16,16 @@ responses; a row without an id among larger ones revisits; line breaks and blank
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from datetime import datetime
 from typing import Any
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +33,17 @@ from pyspark.sql import functions as F
 from onceflow.llm.common import materialize, scratch_path
 
 END = "\r\n\r\n"
+#: Level of compression, and a gzip member of nothing.
+LEVEL = 6
+EMPTY = gzip.compress(b"", mtime=0)
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + END
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "url_key string, captured long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 KEY = ("url_key", "captured", "page_id")
+#: Compressed bytes that are read at a time.
+CHUNK = 1 << 16
+#: Rows whose keys a cursor of the merge holds.
+BLOCK = 512
 
 
 def roles(pages: DataFrame, least: int) -> DataFrame:
@@ -63,11 +74,28 @@ def record(captured: Column) -> Column:
     return F.concat(head, F.when(revisit, "").otherwise(F.col("payload")))
 
 
-def write_warc(pages: DataFrame, path: str, captured: Column | None = None, least: int = 1000, records: int = 1024) -> None:
-    """Writes archives of at most `records` records each. captured: seconds since 1970; by default a second a page id after 2024-01-01."""
+def write_warc(pages: DataFrame, path: str, captured: Column | None = None, least: int = 1000, file_bytes: int = 64 << 20) -> None:
+    """Writes archives of file_bytes each, or of one larger record. captured: seconds since 1970; by default a second a page id after 2024-01-01."""
     captured = F.lit(1_704_067_200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(10**9)) if captured is None else captured
-    out = roles(pages, least).select(record(captured).alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = size = n = 0
+        for b in batches:
+            files, members = [], []
+            for value in b.column(0):
+                member = gzip.compress((value.as_py() + END).encode(), LEVEL, mtime=0)
+                if size and size + len(member) > file_bytes:
+                    file, size = file + 1, 0
+                size += len(member) + len(EMPTY)
+                files.append(file)
+                members.append(member)
+            seq = pa.array(range(n, n + len(members)), pa.int64())
+            n += len(members)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), seq, pa.array(members, pa.binary())], ["file", "seq", "value"])
+
+    out = roles(pages, least).select(record(captured).alias("value")).mapInArrow(run, "file long, seq long, value binary")
+    out = out.sortWithinPartitions("file", "seq").select("file", F.col("value").cast("string").alias("value"))
+    out.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
 
 
 def url_key(url: str) -> str:
@@ -97,14 +125,22 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
         at = stop + 8 + size
 
 
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of the members of a gzip file that hold something."""
+    at = 0
+    view = memoryview(data)
+    while at < len(data):
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    return b"".join(out)
+        out, step = [], at
+        while not d.eof:
+            if step >= len(data):
+                raise ValueError(f"the member at byte {at} has no end")
+            out.append(d.decompress(view[step : step + CHUNK]))
+            step += CHUNK
+        step = min(step, len(data)) - len(d.unused_data)
+        if content := b"".join(out):
+            yield at, content
+        at = step
 
 
 def capture(headers: dict[str, str], block: bytes) -> tuple[Any, ...]:
@@ -130,8 +166,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [types[c.split()[1]] for c in INDEX.split(", ")]
     for b in batches:
         for path, content in zip(b.column(0), b.column(1), strict=True):
-            name = path.as_py().rsplit("/", 1)[-1]
-            rows = sorted(((*capture(h, block), name, at) for h, block, at in parse(gunzip(content.as_py()))), key=_order)
+            *_, folder, name = path.as_py().split("/")
+            name = f"{folder}/{name}" if folder.startswith("file=") else name
+            rows = sorted(((*capture(h, block), name, at) for at, raw in members(content.as_py()) for h, block, _ in parse(raw)), key=_order)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -173,30 +210,30 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Splits a task's rows into their archives' runs and merges these."""
-    runs: dict[str, list[tuple[Any, ...]]] = {}
-    schema = None
-    for b in batches:
-        schema = b.schema
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            runs.setdefault(row[7], []).append(row)
-    merged: list[tuple[Any, ...]] = []
-    for name in runs:
-        runs[name].sort(key=_order)  # already in order, unless shuffled blocks of an archive arrived out of turn
-    for row in LoserTree([iter(runs[name]) for name in sorted(runs)], _order):
-        merged.append(row)
-        if len(merged) == 8192:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*merged, strict=True), schema, strict=True)], schema=schema)
-            merged = []
-    if merged:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*merged, strict=True), schema, strict=True)], schema=schema)
+    """Merges the pieces of runs in a task's rows, which come archive by archive, each in order."""
+    parts = list(batches)
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts).combine_chunks()
+    archive = t["archive"].combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], archive[1:] != archive[:-1]])) if len(t) else np.zeros(0, np.int64)
+
+    def cursor(start: int, end: int) -> Iterator[tuple[tuple[Any, ...], int]]:
+        for s in range(start, end, BLOCK):
+            block = [t[c].slice(s, min(BLOCK, end - s)).to_pylist() for c in KEY]
+            yield from ((_order(k), s + i) for i, k in enumerate(zip(*block, strict=True)))
+
+    tree = LoserTree([cursor(s, e) for s, e in zip(starts, [*starts[1:], len(t)], strict=True)], lambda row: row[0])
+    order = (i for _, i in tree)
+    while some := list(itertools.islice(order, 8192)):
+        yield from t.take(pa.array(some)).to_batches()
 
 
 def read_index(df: DataFrame, rows_a_task: int = 200_000) -> DataFrame:
     """The capture history of archives, read as binaryFile rows, in global order of (url_key, captured, page_id)."""
     runs = materialize(df.select("path", "content").mapInArrow(_runs, INDEX), "warc-runs")
     tasks = max(1, -(-runs.count() // rows_a_task))
-    return runs.repartitionByRange(tasks, *KEY).mapInArrow(_merge, INDEX)
+    return runs.repartitionByRange(tasks, *KEY).sortWithinPartitions("archive", *KEY).mapInArrow(_merge, INDEX)
 
 
 def capture_index(pages: DataFrame, least: int = 1000) -> DataFrame:
