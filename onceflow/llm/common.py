@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -20,9 +21,11 @@ _MASK = (1 << 64) - 1
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or one made here where none is named (tests, a single machine)."""
+    """The shared folder of the cluster. Where none is named, a local master gets one made here; elsewhere executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster sees")
         root = "file://" + tempfile.mkdtemp(prefix="onceflow-")
         spark.conf.set("spark.checkpoint.dir", root)
         _delete_on_exit(spark, root)
