@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group whose five-word shingles link at a similarity of 0.8 and more."""
+    """One document, that with the smallest id, of each group whose five-word shingles link at a similarity of 0.8 and more."""
     return drop_near_duplicates(docs, k=5, num=80, den=100)
 
 
