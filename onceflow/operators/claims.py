@@ -82,13 +82,14 @@ def follow_up(decided: DataFrame, outcomes: DataFrame) -> DataFrame:
 def decide_leased(requests: DataFrame, ledger: DataFrame, now: float, lease_seconds: float, matches: Column | None = None) -> DataFrame:
     """Multi-writer claims with leases. requests: as for decide_claim, with owner and the caller's provider_dedup and reconcilable.
 
-    The caller's flags and the row's TTL decide about an abandoned effect; a lease that ends just now is over; an owner's own lease does not
-    stop it. One request a key decides in a batch, the earliest; the others of the batch are BUSY until the next. Adds outcome, new_state (null:
-    unchanged), new_token, new_lease_expires, result, stored_fingerprint."""
+    The caller's flags and the row's TTL decide about an abandoned effect; a flag that is null promises nothing. A lease that ends just now is over;
+    an owner's own lease does not stop it; a live lease whose owner is unknown is another's. One request a key decides in a batch, the earliest; the others of the batch are BUSY until the next. Adds outcome, new_state (null:
+    unchanged), new_token, new_lease_expires, result, result_ref, stored_fingerprint."""
     d = _met(requests, ledger, _ROW)
     same = F.coalesce(F.col("fingerprint") == F.col("row_fingerprint") if matches is None else matches, F.lit(False))
-    state, dedup, asks = F.col("row_state"), F.col("provider_dedup"), F.col("reconcilable")
-    held = F.coalesce((F.col("row_lease_expires") > now) & (F.col("row_lease_owner") != F.col("owner")), F.lit(False))
+    state, never = F.col("row_state"), F.lit(False)
+    dedup, asks = F.coalesce("provider_dedup", never), F.coalesce("reconcilable", never)
+    held = F.coalesce(F.col("row_lease_expires") > now, never) & ~F.coalesce(F.col("row_lease_owner") == F.col("owner"), never)
     fresh = within_ttl(F.col("row_created_at"), F.col("row_provider_ttl_s"), F.timestamp_micros(F.lit(int(now * 1e6))))
     running = state == S.EXECUTING
     outcome = (
@@ -113,7 +114,8 @@ def decide_leased(requests: DataFrame, ledger: DataFrame, now: float, lease_seco
     new = F.when(does & (F.col("outcome") == "AMBIGUOUS"), S.AMBIGUOUS).when(does & (F.col("outcome") == "PROCEED") & ~F.coalesce(running, F.lit(False)), S.CLAIMED)
     return d.select(
         *requests.columns, "outcome", new.alias("new_state"), F.when(does, F.coalesce(F.col("row_fencing_token"), F.lit(0)) + 1).alias("new_token"), F.when(leased, F.lit(now + lease_seconds)).alias("new_lease_expires"),
-        F.when(F.col("outcome") == "REPLAY", F.col("row_result")).alias("result"), F.when(F.col("outcome").isin("REPLAY", "DIVERGENT") | ((F.col("outcome") == "AMBIGUOUS") & (state == S.AMBIGUOUS)), F.col("row_fingerprint")).alias("stored_fingerprint"),
+        F.when(F.col("outcome") == "REPLAY", F.col("row_result")).alias("result"), F.when(F.col("outcome") == "REPLAY", F.col("row_result_ref")).alias("result_ref"),
+        F.when(F.col("outcome").isin("REPLAY", "DIVERGENT") | ((F.col("outcome") == "AMBIGUOUS") & (state == S.AMBIGUOUS)), F.col("row_fingerprint")).alias("stored_fingerprint"),
     )
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from onceflow.schema import EVENTS, STATES
 
-#: Values that one task may sort.
-_FEW = 100_000
+#: Bits of a value that a level of the selection decides.
+_LEVEL = 16
 
 
 def event_counts(events: DataFrame) -> DataFrame:
@@ -36,34 +37,36 @@ def flag_density(findings: DataFrame, files: DataFrame) -> DataFrame:
     return both.withColumn("per_file", F.col("findings") / F.col("files"))
 
 
-def value_at(df: DataFrame, column: str, index: int) -> float:
-    """The value at an index of the sorted column, exactly. Approximate quantiles only choose the brackets that are counted; the bracket that holds the index is narrowed
-    until one task can sort it."""
-    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    while True:
-        n = rows.count()
-        if not 0 <= index < n:
-            raise IndexError(index)
-        if n <= _FEW:
-            return rows.orderBy("v").offset(index).limit(1).first().v
-        cuts = sorted(set(rows.approxQuantile("v", [i / 100 for i in range(101)], 0.002)))
-        bracket = F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v")))
-        sizes = sorted((r.b, r.n) for r in rows.groupBy(bracket.alias("b")).agg(F.count("*").alias("n")).collect())
-        for b, size in sizes:
-            if index < size:
-                break
-            index -= size
-        inside = rows.where(bracket == b)
-        if size == n:  # all in one bracket: equal values, or cuts that no longer part them
-            low, high = inside.agg(F.min("v"), F.max("v")).first()
-            if low == high:
-                return low
-            inside = inside.where(F.col("v") == high) if index >= (k := inside.where(F.col("v") < high).count()) else inside.where(F.col("v") < high)
-            index = index - k if index >= k else index
-        rows = inside
+def _as_bits(value: Column, whole: bool) -> Column:
+    """A long in the order of the values."""
+    bits = value.cast("long") if whole else F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    return bits if whole else F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+
+
+def _from_bits(bits: Column, whole: bool) -> Column:
+    raw = F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+    return bits if whole else F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
 
 
 def percentiles(df: DataFrame, column: str, ps: tuple[float, ...] = (50, 95, 99)) -> DataFrame:
-    """(p, value): the value at round(p / 100 * (n - 1)), halves to even; p 100 is the maximum."""
-    n = df.where(F.col(column).isNotNull()).count()
-    return df.sparkSession.createDataFrame([(float(p), value_at(df, column, round(p / 100 * (n - 1)))) for p in (*ps, 100)] if n else [], "p double, value double")
+    """(p, value): the value at round(p / 100 * (n - 1)), halves to even; p 100 is the maximum. Nulls take no part; no values, no rows.
+
+    One plan for all ranks, exact for doubles and whole numbers: equal values become one row with a count, and a radix selection then decides _LEVEL bits a
+    level. What a window sorts is a level's counts, 2**_LEVEL a rank at most, whatever the data."""
+    whole = isinstance(df.schema[column].dataType, T.IntegralType)
+    value = F.col(column).cast("long" if whole else "double")
+    counts = df.where(F.col(column).isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    counts = counts.select(_as_bits(F.col("v"), whole).alias("bits"), "n")
+    asked = F.explode(F.array(*[F.lit(float(p)) for p in (*ps, 100)])).alias("p")
+    rank = F.rint(F.col("p") / 100 * (F.col("all") - 1)).cast("long")
+    # a row a rank: what is decided of its value (the bits from `shift` on), and its rank among the values that share that
+    found = counts.agg(F.sum("n").alias("all")).where("all > 0").select("all", asked).select("p", F.lit(0).cast("long").alias("head"), rank.alias("rank"))
+    for shift in range(64 - _LEVEL, -1, -_LEVEL):
+        head = F.shiftright("bits", shift)
+        above = F.lit(0).cast("long") if shift == 64 - _LEVEL else F.shiftright("bits", shift + _LEVEL)
+        here = counts.select(above.alias("head"), head.alias("next"), "n").groupBy("head", "next").agg(F.sum("n").alias("n"))
+        here = here.join(F.broadcast(found), "head")  # a row a rank
+        until = F.sum("n").over(Window.partitionBy("p").orderBy("next"))
+        here = here.withColumn("until", until).where((F.col("rank") < F.col("until")) & (F.col("rank") >= F.col("until") - F.col("n")))
+        found = here.select("p", F.col("next").alias("head"), (F.col("rank") - F.col("until") + F.col("n")).alias("rank"))
+    return found.select("p", _from_bits(F.col("head"), whole).alias("value"))

@@ -1,6 +1,7 @@
 """Conditional writes, as transforms from a ledger and a batch of writes to a new ledger and which writes applied.
 
-Each key has one write a batch. The writes meet the ledger in one equi-join; rows without one pass through.
+Each key has one write a batch: equal writes of a key count once, and where they differ none applies. The writes meet the ledger in one
+equi-join; rows without one pass through.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from onceflow import schema as S
 
 def _apply(ledger: DataFrame, writes: DataFrame, allowed: Column, changes: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(ledger after, (key, applied)). Columns of writes are seen as w_<name>."""
-    w = writes.select("key", *[F.col(c).alias(f"w_{c}") for c in writes.columns if c != "key"], F.lit(True).alias("w_there"))
+    asked = [c for c in writes.columns if c != "key"]
+    write = F.struct(*asked, F.lit(True).alias("there"))
+    w = writes.groupBy("key").agg(F.min(write).alias("w"), F.max(write).alias("other")).where(F.col("w").eqNullSafe(F.col("other")))
+    w = w.select("key", *[F.col("w")[c].alias(f"w_{c}") for c in (*asked, "there")])
     d = ledger.join(w, "key", "left").withColumn("applied", F.coalesce(F.col("w_there") & allowed, F.lit(False)))
     after = d.select(*[F.when(F.col("applied"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in ledger.columns])
     hit = d.where("applied").select("key", F.lit(True).alias("applied"))
@@ -29,12 +33,13 @@ def _null(kind: str = "string") -> Column:
 
 
 def fence(ledger: DataFrame, writes: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """writes: key, token, state, result, result_ref, error. Applies where the token is the row's and the row is not terminal; a terminal state
-    sets its time and gives up the lease."""
-    terminal = F.col("w_state").isin(*S.TERMINAL)
+    """writes: key, token, state, result, result_ref, error. Applies where the token is the row's and the row is not terminal. The row then says what
+    the new state says and nothing of an earlier attempt: a result only for SUCCEEDED, an error only for FAILED, a time only for a terminal state, which
+    also gives up the lease."""
+    terminal, done, failed = F.col("w_state").isin(*S.TERMINAL), F.col("w_state") == S.SUCCEEDED, F.col("w_state") == S.FAILED
     return _apply(ledger, writes, (F.col("fencing_token") == F.col("w_token")) & ~F.col("state").isin(*S.TERMINAL), {
-        "state": F.col("w_state"), "result": F.coalesce("w_result", "result"), "result_ref": F.coalesce("w_result_ref", "result_ref"), "error": F.coalesce("w_error", "error"),
-        "settled_at": F.when(terminal, _now(now)).otherwise(F.col("settled_at")), "lease_owner": F.when(~terminal, F.col("lease_owner")), "lease_expires": F.when(~terminal, F.col("lease_expires")),
+        "state": F.col("w_state"), "result": F.when(done, F.col("w_result")), "result_ref": F.when(done, F.col("w_result_ref")), "error": F.when(failed, F.col("w_error")),
+        "settled_at": F.when(terminal, _now(now)), "lease_owner": F.when(~terminal, F.col("lease_owner")), "lease_expires": F.when(~terminal, F.col("lease_expires")),
     })
 
 

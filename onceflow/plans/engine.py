@@ -8,8 +8,10 @@ crash between the commits the effects stand EXECUTING, and recovery treats each
 from __future__ import annotations
 
 import inspect
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from datetime import UTC, datetime
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -23,12 +25,27 @@ from onceflow.functions.canonical import json_round_trip
 from onceflow.operators import claims, recovery
 from onceflow.operators import transitions as tr
 from onceflow.plans.declarations import Declaration, Registry
+from onceflow.plans.notices import Hooks, notices, recovery_notices
+from onceflow.plans.protocols import RuntimeAdapter, Store
+from onceflow.plans.seams import seam
 from onceflow.sources.store import Ledger
 
 #: What a dispatch function returns for each request: outcome is ok, clean_failure or unknown.
 OUTCOMES = "key string, outcome string, result string, result_ref string, error string"
 
 
+def checked(sent: DataFrame, answers: DataFrame) -> DataFrame:
+    """(key, outcome, result, result_ref, error): one row a request that was sent. A dispatch function is not trusted: of a key without an answer, with answers that
+    differ or with an outcome that does not exist nobody knows what happened; answers about other keys are dropped."""
+    answer = F.struct("outcome", "result", "result_ref", "error")
+    one = answers.groupBy("key").agg(F.min(answer).alias("a"), F.max(answer).alias("b"))
+    d = sent.select("key").join(one, "key", "left")
+    plain = F.col("a").eqNullSafe(F.col("b")) & F.coalesce(F.col("a.outcome").isin("ok", "clean_failure", "unknown"), F.lit(False))
+    why = F.when(F.col("a").isNull(), "the dispatch function gave no answer").when(~F.col("a").eqNullSafe(F.col("b")), "the dispatch function gave answers that differ").otherwise("no such outcome")
+    known = lambda c: F.when(plain, F.col("a")[c])
+    return d.select("key", F.coalesce(known("outcome"), F.lit("unknown")).alias("outcome"), known("result").alias("result"), known("result_ref").alias("result_ref"), F.when(plain, F.col("a.error")).otherwise(why).alias("error"))
+
+
 def dispatcher(effect: Callable[[dict[str, Any]], Any], clean: tuple[type[BaseException], ...] = ()) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A batch dispatch function from one that takes a request as a dict. Exceptions of the declared types prove that nothing happened; others leave it unknown."""
     if inspect.iscoroutinefunction(effect) or inspect.isgeneratorfunction(effect) or inspect.isasyncgenfunction(effect):
@@ -52,22 +69,35 @@ def dispatcher(effect: Callable[[dict[str, Any]], Any], clean: tuple[type[BaseEx
 
 
 class Engine:
-    """Settles batches of requests against a single-writer ledger."""
+    """Settles batches of requests against a single-writer ledger. hooks are told of each batch; adapter names batches that give no coordinate."""
 
-    def __init__(self, spark: SparkSession, path: str, registry: Registry, secret: bytes, verify_secrets: tuple[bytes, ...] = (), now: Callable[[], datetime] = lambda: datetime.now(UTC)):
-        self.spark, self.registry, self.secret, self.now = spark, registry, secret, now
-        self.ledger = Ledger(spark, path, create=True)
+    _many = False
+
+    def __init__(
+        self, spark: SparkSession, path: str, registry: Registry, secret: bytes, verify_secrets: tuple[bytes, ...] = (), now: Callable[[], datetime] = lambda: datetime.now(UTC),
+        hooks: Hooks | None = None, adapter: RuntimeAdapter | None = None, store: Store | None = None,
+    ):
+        self.spark, self.registry, self.secret, self.now, self.hooks, self.adapter = spark, registry, secret, now, hooks, adapter
+        self.ledger = Ledger(spark, path, create=True, multi_worker=self._many) if store is None else store
+        if self.ledger.multi_worker != self._many:
+            raise LedgerError(f"{path} is a {'multi' if self.ledger.multi_worker else 'single'}-worker ledger")
         ids = [I.secret_id(s) for s in (secret, *verify_secrets)]
         if len(set(ids)) != len(ids):
             raise LedgerError("two secrets have one id")
         self.keyring = dict(zip(ids, (secret, *verify_secrets), strict=True))
         self._recovered = False
 
-    def identify(self, calls: DataFrame, tool: str, *, arrival: Column, args: list[str] | None = None, key: Column | None = None, step: Column | None = None, scope: Column | None = None, occurrence: Column | int = 1) -> DataFrame:
+    def identify(self, calls: DataFrame, tool: str, *, arrival: Column, args: list[str] | None = None, key: Column | None = None, step: Column | None = None, scope: Column | None = None, occurrence: Column | int = 1, runtime_scope: Column | None = None, runtime_site: Column | None = None, defaults: Mapping[str, Any] | None = None) -> DataFrame:
         """Requests from calls of a tool: key, fingerprint under every secret of the keyring, flags. args names the columns that are arguments, by default
-        all. Calls without a coordinate keep refused, and no key."""
+        all. defaults: values of arguments that calls leave out, so that leaving one out and giving its default are one action; for columns that are not there, since a
+        null is a value. Calls without a coordinate keep refused, and no key."""
         d = self.registry[tool]
-        at = I.coordinate(key=key, step=step, scope=scope, occurrence=occurrence)
+        missing = {name: value for name, value in (defaults or {}).items() if name not in calls.columns}
+        args = [*(args or calls.columns), *missing] if missing else args
+        calls = calls.withColumns({name: F.lit(value) for name, value in missing.items()}) if missing else calls
+        if runtime_site is None and self.adapter is not None and (there := self.adapter.current_coordinate()) is not None:
+            runtime_scope, runtime_site = F.lit(there.scope), F.unhex(F.lit(there.call_site.hex()))
+        at = I.coordinate(key=key, step=step, scope=scope, runtime_scope=runtime_scope, runtime_site=runtime_site, occurrence=occurrence)
         c = calls.withColumn("at", at).withColumn("message", d.message(calls.select(*(args or calls.columns)).schema))
         prints = {sid: I.fingerprint(F.col("message"), s) for sid, s in self.keyring.items()}
         primary = I.secret_id(self.secret)
@@ -77,8 +107,10 @@ class Engine:
             F.lit(primary).alias("secret_id"), arrival.alias("arrival"), F.lit(d.provider_dedup).alias("provider_dedup"), F.lit(d.provider_ttl_s).cast("double").alias("provider_ttl_s"), F.lit(d.reconcile is not None).alias("reconcilable"),
         )
 
-    def _matches(self) -> Column:
-        """Evidence compared under the secret that signed the row's; null, so no match, if it has left the keyring."""
+    def _matches(self, requests: DataFrame) -> Column:
+        """Evidence compared under the secret that signed the row's; null, so no match, if it has left the keyring. Requests with one fingerprint only have that compared."""
+        if "fingerprints" not in requests.columns:
+            return F.col("fingerprint") == F.col("row_fingerprint")
         primary = I.secret_id(self.secret)
         return F.col("fingerprints")[F.coalesce("row_secret_id", F.lit(primary))] == F.col("row_fingerprint")
 
@@ -99,52 +131,71 @@ class Engine:
         """The ledger's rows with the keys of a batch. A small batch's keys go to the ledger by broadcast, and its files are not shuffled."""
         return ledger.join(rows.select("key").distinct(), "key", "left_semi")
 
-    def settle(self, requests: DataFrame, dispatch: Callable[[pd.DataFrame], pd.DataFrame], rounds: int = 50) -> DataFrame:
-        """One row a request: its columns, outcome, result, result_ref. Requests are written once first, since their plans may not be
-        deterministic. A clean failure lets the next request of its key try, up to `rounds` times in a batch."""
+    def _begin(self, requests: DataFrame) -> tuple[str, DataFrame, DataFrame]:
+        """(folder, requests with a key, the others refused). Requests are written once first, since their plans may not be deterministic."""
+        base = f"{self.ledger.path}/_batches/{self.now().strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
+        requests.write.parquet(f"{base}/requests")
+        every = self.spark.read.parquet(f"{base}/requests")
+        return base, every.where("key is not null"), self._without_result(every.where("key is null"), "NO_COORDINATE")
+
+    @staticmethod
+    def _without_result(rows: DataFrame, outcome: str) -> DataFrame:
+        return rows.withColumns({"outcome": F.lit(outcome), "result": F.lit(None).cast("string"), "result_ref": F.lit(None).cast("string")})
+
+    def _stored(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _send(self, leaders: DataFrame, dispatch: Callable[[pd.DataFrame], pd.DataFrame], path: str) -> DataFrame:
+        run = lambda frames: (dispatch(f) for f in frames if len(f))
+        answers = self._stored(leaders.drop("follows", "result", "result_ref", "fingerprints").mapInPandas(run, OUTCOMES), f"{path}/answers")
+        return self._stored(checked(leaders, answers), f"{path}/outcomes")
+
+    def _tell(self, rows: DataFrame) -> None:
+        if self.hooks is not None:
+            self.hooks.tell(rows)
+
+    def settle(self, requests: DataFrame, dispatch: Callable[[pd.DataFrame], pd.DataFrame], rounds: int | None = None) -> DataFrame:
+        """One row a request: its columns, outcome, result, result_ref. A clean failure lets the next request of its key try, until none is left;
+        with `rounds`, what that many rounds leave untried comes back PENDING."""
         if not self._recovered and self.ledger.version():
             self.recover()
         self._recovered = True
-        base = f"{self.ledger.path}/_batches/{self.now().strftime('%Y%m%dT%H%M%S%f')}"
-        requests.write.parquet(f"{base}/requests")
-        todo, done = self.spark.read.parquet(f"{base}/requests"), []
-        refused = todo.where("key is null").withColumns({"outcome": F.lit("NO_COORDINATE"), "follows": F.lit(None).cast(todo.schema["arrival"].dataType), "result": F.lit(None).cast("string"), "result_ref": F.lit(None).cast("string")})
-        todo = todo.where("key is not null")
-        for n in range(rounds):
+        base, todo, refused = self._begin(requests)
+        done, n = [refused], 0
+        while True:
             here = f"{base}/{n:03d}"
 
             def claim(ledger: DataFrame, todo: DataFrame = todo, here: str = here) -> tuple[DataFrame, DataFrame]:
                 ledger = self._touched(ledger, todo)
-                claims.decide_claim(todo, ledger, self._matches()).drop("stored_fingerprint").write.mode("overwrite").parquet(f"{here}/decided")
+                claims.decide_claim(todo, ledger, self._matches(todo)).drop("stored_fingerprint").write.mode("overwrite").parquet(f"{here}/decided")
                 decided = self.spark.read.parquet(f"{here}/decided")
                 return self._claimed(ledger, decided.where("outcome = 'PROCEED'")), decided
 
             decided = self.ledger.update(claim, "claim")  # first commit: EXECUTING before anything is sent
-            leaders = decided.where("outcome = 'PROCEED'")
-            run = lambda frames: (dispatch(f) for f in frames if len(f))
-            leaders.drop("follows", "result", "result_ref", "fingerprints").mapInPandas(run, OUTCOMES).write.parquet(f"{here}/outcomes")
-            outcomes = self.spark.read.parquet(f"{here}/outcomes")
+            seam("after_mark_executing")
+            outcomes = self._send(decided.where("outcome = 'PROCEED'"), dispatch, here)
+            seam("after_dispatch")
             self.ledger.update(lambda ledger, o=outcomes: (self._recorded(ledger, o), None), "record")  # second commit
+            seam("after_record")
             after = claims.follow_up(decided, outcomes)
-            mine = outcomes.select("key", F.col("outcome").alias("actual"), F.col("result").alias("r"), F.col("result_ref").alias("rr"), F.col("error").alias("e"))
+            mine = outcomes.select("key", F.col("outcome").alias("actual"), F.col("result").alias("r"), F.col("result_ref").alias("rr"))
             after = after.join(mine, "key", "left")
             shows = (F.col("outcome") == "PROCEED") | ((F.col("outcome") == "REPLAY") & F.col("follows").isNotNull())
             after = after.withColumns({"result": F.when(shows, F.col("r")).otherwise(F.col("result")), "result_ref": F.when(shows, F.col("rr")).otherwise(F.col("result_ref"))})
             sent = F.col("outcome") == "PROCEED"
-            after = after.withColumn("outcome", F.when(sent & (F.col("actual") == "clean_failure"), "FAILED").when(sent & (F.col("actual") == "unknown"), "UNKNOWN").otherwise(F.col("outcome"))).drop("actual", "r", "rr", "e")
-            after.write.parquet(f"{here}/after")
-            after = self.spark.read.parquet(f"{here}/after")
+            actual = F.when(sent & (F.col("actual") == "clean_failure"), "FAILED").when(sent & (F.col("actual") == "unknown"), "UNKNOWN").otherwise(F.col("outcome"))
+            after = self._stored(after.withColumn("outcome", actual).drop("actual", "r", "rr", "follows"), f"{here}/after")
+            self._tell(notices(after))
             done.append(after.where("outcome is not null"))
-            again = after.where("outcome is null").select(*requests.columns)
+            again, n = after.where("outcome is null").select(*requests.columns), n + 1
             if not again.take(1):
                 break
+            if n == rounds:
+                done.append(self._without_result(again, "PENDING"))
+                break
             todo = again
-        else:
-            done.append(again.withColumns({"outcome": F.lit("IN_FLIGHT"), "follows": F.lit(None).cast(todo.schema["arrival"].dataType), "result": F.lit(None).cast("string"), "result_ref": F.lit(None).cast("string")}))
-        out = refused
-        for d in done:
-            out = out.unionByName(d)
-        return out.drop("follows", "fingerprints")
+        return reduce(DataFrame.unionByName, done).drop("fingerprints")
 
     def _recorded(self, ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
         now = self.now()
@@ -172,7 +223,7 @@ class Engine:
         def change(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
             pending = recovery.pending_reconcile(ledger).where(F.col("tool").isin(*known)) if known else recovery.pending_reconcile(ledger).limit(0)
             answers = reads if reads is not None else pending.mapInPandas(ask, S.PROVIDER_READS)
-            path = f"{self.ledger.path}/_batches/recover-{self.now().strftime('%Y%m%dT%H%M%S%f')}"
+            path = f"{self.ledger.path}/_batches/recover-{self.now().strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
             at = F.lit(self.now()).cast("timestamp")
             recovery.recover(ledger, self.registry.frame(self.spark), answers, at).where("from_state <> to_state").write.mode("overwrite").parquet(path)
             moves = self.spark.read.parquet(path)
@@ -183,7 +234,9 @@ class Engine:
             return after, moves
 
         self._recovered = True
-        return self.ledger.update(change, "recover").select("key", "from_state", "to_state")
+        moves = self.ledger.update(change, "recover").select("key", "from_state", "to_state")
+        self._tell(recovery_notices(moves))
+        return moves
 
 
 def effect(engine: Engine, declaration: Declaration, fn: Callable[[dict[str, Any]], Any]) -> Callable[..., DataFrame]:
@@ -193,6 +246,32 @@ def effect(engine: Engine, declaration: Declaration, fn: Callable[[dict[str, Any
     return lambda calls, **identity: engine.settle(engine.identify(calls, declaration.tool, **identity), send)
 
 
+def bind(fn: Callable[..., Any], args: tuple[Any, ...], kwargs: Mapping[str, Any]) -> dict[str, Any]:
+    """The arguments of a call by name, with defaults for those left out, so that a default takes part in the identity like a value that was given."""
+    try:
+        bound = inspect.signature(fn).bind(*args, **kwargs)
+    except ValueError as e:  # a function that can't be inspected
+        if args:
+            raise LedgerError(f"{fn!r} can't be inspected, so its arguments must be given by name") from e
+        return dict(kwargs)
+    except TypeError as e:
+        raise LedgerError(f"{getattr(fn, '__name__', fn)}: {e}") from e
+    bound.apply_defaults()
+    named = dict(bound.arguments)
+    for p in bound.signature.parameters.values():
+        if p.kind is p.VAR_KEYWORD:
+            named |= named.pop(p.name)
+        elif p.kind is p.VAR_POSITIONAL and not named[p.name]:
+            named.pop(p.name)
+    return named
+
+
+def call(engine: Engine, declaration: Declaration, fn: Callable[..., Any], *args: Any, at: Mapping[str, str | int], **kwargs: Any) -> Any:
+    """One call of a plain function, strictly. at: key, or step and scope, and occurrence."""
+    named = bind(fn, args, kwargs)
+    return guard(engine, declaration, lambda request: fn(**{k: request[k] for k in named}), named, **at)
+
+
 def guard(engine: Engine, declaration: Declaration, fn: Callable[[dict[str, Any]], Any], args: Mapping[str, Any], **names: str | int) -> Any:
     """One call, strictly: its result, or the error that its outcome means. names: key, or step and scope, and occurrence."""
     import json

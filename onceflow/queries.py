@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onceflow import schema as S
+from onceflow.errors import LedgerError
 from onceflow.functions import canonical as C
 from onceflow.functions import identity as I
 from onceflow.functions import normalizers as N
@@ -64,6 +69,7 @@ LEDGER = f"""led AS (
     (o_orderkey // 10) % 4 IN (2, 3) AS provider_dedup, (o_orderkey // 10) % 4 IN (1, 3) AS reconcilable,
     CASE WHEN o_orderkey % 7 <> 0 THEN 86400000.0 END AS provider_ttl_s, o_orderdate AS created_at, o_orderkey % 3 AS fencing_token,
     'w' || (o_orderkey % 2) AS lease_owner, CAST(o_orderkey % 100 AS DOUBLE) AS lease_expires, CASE WHEN o_orderkey % 97 = 0 THEN 'v0' ELSE 'v1' END AS key_version,
+    CASE WHEN o_orderkey % 6 <> 0 THEN 'sid-' || (o_orderkey % 2) END AS secret_id, '{{"order":' || o_orderkey || '}}' AS result,
     o_orderkey, o_custkey, TIMESTAMP '{NOW}' AS now
   FROM orders)"""
 
@@ -77,24 +83,24 @@ def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("fp-"), _text(k % 11)).alias("fingerprint"), state.alias("state"), level.isin(2, 3).alias("provider_dedup"), level.isin(1, 3).alias("reconcilable"),
         F.when(k % 7 != 0, F.lit(86400000.0)).alias("provider_ttl_s"), F.col("o_orderdate").cast("timestamp").alias("created_at"), (k % 3).alias("fencing_token"),
         F.concat(F.lit("w"), _text(k % 2)).alias("lease_owner"), (k % 100).cast("double").alias("lease_expires"), F.when(k % 97 == 0, "v0").otherwise("v1").alias("key_version"),
-        F.concat(F.lit('{"order":'), _text(k), F.lit("}")).alias("result"),
+        F.when(k % 6 != 0, F.concat(F.lit("sid-"), _text(k % 2))).alias("secret_id"), F.concat(F.lit('{"order":'), _text(k), F.lit("}")).alias("result"),
     )
     return S.evolve(rows)
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two requests a key: order n asks for keys n and n + 7, a quarter of them with other arguments."""
+    """Two requests a key: order n asks for keys n and n + 7, a quarter of them with other arguments, some without flags."""
     d = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
     k = F.col("o_orderkey") + 7 * F.col("i")
     return d.select(
         F.concat(F.lit("order-"), _text(k)).alias("key"), F.when(F.col("o_orderkey") % 4 == 0, "fp-other").otherwise(F.concat(F.lit("fp-"), _text(k % 11))).alias("fingerprint"),
-        (F.col("o_orderkey") * 2 + F.col("i")).alias("arrival"), (F.col("o_orderkey") % 5 < 2).alias("provider_dedup"), (F.col("o_orderkey") % 5 == 1).alias("reconcilable"), F.concat(F.lit("w"), _text(F.col("o_orderkey") % 3)).alias("owner"),
+        (F.col("o_orderkey") * 2 + F.col("i")).alias("arrival"), F.when(F.col("o_orderkey") % 5 < 4, F.col("o_orderkey") % 5 < 2).alias("provider_dedup"), F.when(F.col("o_orderkey") % 5 < 3, F.col("o_orderkey") % 5 == 1).alias("reconcilable"), F.concat(F.lit("w"), _text(F.col("o_orderkey") % 3)).alias("owner"),
     )
 
 
 _REQUESTS = """req AS (
   SELECT 'order-' || (o_orderkey + 7 * i) AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'fp-other' ELSE 'fp-' || ((o_orderkey + 7 * i) % 11) END AS fingerprint,
-    o_orderkey * 2 + i AS arrival, o_orderkey % 5 < 2 AS provider_dedup, o_orderkey % 5 = 1 AS reconcilable, 'w' || (o_orderkey % 3) AS owner
+    o_orderkey * 2 + i AS arrival, CASE WHEN o_orderkey % 5 < 4 THEN o_orderkey % 5 < 2 END AS provider_dedup, CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey % 5 = 1 END AS reconcilable, 'w' || (o_orderkey % 3) AS owner
   FROM orders, (VALUES (0), (1)) t(i))"""
 
 #: Requests from events against an empty ledger.
@@ -235,21 +241,32 @@ def settled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AGE = "date_diff('microsecond', created_at, now) / 1e6"
 
 
-@query(f"""WITH {LEDGER}, {_REQUESTS},
-j AS (SELECT r.*, l.state, l.fencing_token, l.fingerprint AS stored, CASE WHEN l.state IS NULL THEN 'PROCEED' WHEN l.key_version <> 'v1' THEN 'SCHEME_MISMATCH'
+#: What a leased claim finds, for a ledger l and a request r at 50 seconds after 1970; where no flag is given nothing is promised.
+_LEASED = """CASE WHEN l.state IS NULL THEN 'PROCEED' WHEN l.key_version <> 'v1' THEN 'SCHEME_MISMATCH'
         WHEN l.state IN ('SUCCEEDED', 'AMBIGUOUS') AND r.fingerprint <> l.fingerprint THEN 'DIVERGENT' WHEN l.state = 'SUCCEEDED' THEN 'REPLAY' WHEN l.state = 'AMBIGUOUS' THEN 'AMBIGUOUS'
-        WHEN l.lease_expires > 50 AND l.lease_owner <> r.owner THEN 'BUSY' WHEN r.fingerprint <> l.fingerprint THEN 'DIVERGENT'
-        WHEN l.state = 'EXECUTING' AND NOT r.provider_dedup AND NOT r.reconcilable THEN 'AMBIGUOUS'
-        WHEN l.state = 'EXECUTING' AND r.provider_dedup AND NOT r.reconcilable AND l.provider_ttl_s IS NOT NULL AND 50 - epoch_us(l.created_at) / 1e6 > l.provider_ttl_s THEN 'AMBIGUOUS'
-        WHEN l.state = 'EXECUTING' AND r.reconcilable THEN 'RECONCILE' ELSE 'PROCEED' END AS seen
-      FROM req r LEFT JOIN led l ON r.key = l.key),
+        WHEN l.lease_expires > 50 AND l.lease_owner IS DISTINCT FROM r.owner THEN 'BUSY' WHEN r.fingerprint <> l.fingerprint THEN 'DIVERGENT'
+        WHEN l.state = 'EXECUTING' AND NOT coalesce(r.provider_dedup, false) AND NOT coalesce(r.reconcilable, false) THEN 'AMBIGUOUS'
+        WHEN l.state = 'EXECUTING' AND r.provider_dedup AND NOT coalesce(r.reconcilable, false) AND l.provider_ttl_s IS NOT NULL AND 50 - epoch_us(l.created_at) / 1e6 > l.provider_ttl_s THEN 'AMBIGUOUS'
+        WHEN l.state = 'EXECUTING' AND r.reconcilable THEN 'RECONCILE' ELSE 'PROCEED' END"""
+#: The ledger, in which some live leases have no owner.
+_NAMELESS = "hld AS (SELECT * REPLACE (CASE WHEN o_orderkey % 13 <> 0 THEN lease_owner END AS lease_owner) FROM led)"
+
+
+def _nameless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.split("key", "-")[1].cast("long")
+    return orders_ledger(spark, sf_dir).withColumn("lease_owner", F.when(number % 13 != 0, F.col("lease_owner")))
+
+
+@query(f"""WITH {LEDGER}, {_NAMELESS}, {_REQUESTS},
+j AS (SELECT r.*, l.state, l.fencing_token, l.fingerprint AS stored, {_LEASED} AS seen FROM req r LEFT JOIN hld l ON r.key = l.key),
 a AS (SELECT *, seen IN ('PROCEED', 'RECONCILE') OR (seen = 'AMBIGUOUS' AND state = 'EXECUTING') AS acts FROM j),
 b AS (SELECT *, CASE WHEN acts AND arrival <> min(arrival) FILTER (WHERE acts) OVER (PARTITION BY key) THEN 'BUSY' ELSE seen END AS outcome FROM a)
 SELECT key, arrival, outcome, CASE WHEN acts AND outcome = 'AMBIGUOUS' THEN 'AMBIGUOUS' WHEN acts AND outcome = 'PROCEED' AND state IS DISTINCT FROM 'EXECUTING' THEN 'CLAIMED' END AS new_state,
   CASE WHEN acts AND outcome <> 'BUSY' THEN coalesce(fencing_token, 0) + 1 END AS new_token, CASE WHEN acts AND outcome IN ('PROCEED', 'RECONCILE') THEN 80.0::DOUBLE END AS new_lease_expires
 FROM b""")
 def leased_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.decide_leased(_requests(spark, sf_dir), orders_ledger(spark, sf_dir), now=50.0, lease_seconds=30.0).select("key", "arrival", "outcome", "new_state", "new_token", "new_lease_expires")
+    """Some requests give no flags, and some live leases have no owner: neither may let an effect go out twice."""
+    return claims.decide_leased(_requests(spark, sf_dir), _nameless(spark, sf_dir), now=50.0, lease_seconds=30.0).select("key", "arrival", "outcome", "new_state", "new_token", "new_lease_expires")
 
 
 _SCAN = f"""CASE WHEN state = 'CLAIMED' THEN 'INTENDED' WHEN state = 'EXECUTING' AND reconcilable THEN 'RECONCILE'
@@ -281,26 +298,40 @@ def recover_with_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _writes(spark: SparkSession, sf_dir: str, *columns: Column) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("order-"), _text(F.col("o_orderkey"))).alias("key"), *columns)
+    """A write to every order."""
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), _text(F.col("o_orderkey"))).alias("key"), *columns)
 
 
-@query(f"""WITH {LEDGER} SELECT key, state AS was, CASE WHEN hit THEN 'SUCCEEDED' ELSE state END AS state, hit AS applied, CASE WHEN NOT hit THEN lease_owner END AS lease_owner
-FROM (SELECT *, o_orderkey % 2 = 0 AND fencing_token = 1 AND state NOT IN ('SUCCEEDED', 'FAILED', 'AMBIGUOUS') AS hit FROM led)""")
+#: The ledger, in which failed rows carry an error and a time, and some rows that run still carry those of an attempt before.
+_WORN = """wrn AS (SELECT *, CASE WHEN state = 'FAILED' OR o_orderkey % 4 = 1 THEN 'old' END AS error, CASE WHEN state = 'FAILED' OR o_orderkey % 4 = 1 THEN created_at END AS settled_at FROM led)"""
+
+
+def _worn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = (F.col("state") == S.FAILED) | (F.split("key", "-")[1].cast("long") % 4 == 1)
+    return orders_ledger(spark, sf_dir).withColumns({"error": F.when(old, "old"), "settled_at": F.when(old, F.col("created_at"))})
+
+
+@query(f"""WITH {LEDGER}, {_WORN}, h AS (SELECT *, ['SUCCEEDED', 'FAILED', 'AMBIGUOUS', 'EXECUTING'][o_orderkey // 3 % 4 + 1] AS to_state, fencing_token = 1 AND state NOT IN ('SUCCEEDED', 'FAILED', 'AMBIGUOUS') AS hit FROM wrn)
+SELECT key, state AS was, hit AS applied, CASE WHEN hit THEN to_state ELSE state END AS state, CASE WHEN NOT hit THEN result WHEN to_state = 'SUCCEEDED' THEN '1' END AS result,
+  CASE WHEN NOT hit THEN error WHEN to_state = 'FAILED' THEN 'why' END AS error, CASE WHEN NOT hit THEN settled_at WHEN to_state <> 'EXECUTING' THEN now END AS settled_at,
+  CASE WHEN NOT hit OR to_state = 'EXECUTING' THEN lease_owner END AS lease_owner, CASE WHEN NOT hit OR to_state = 'EXECUTING' THEN lease_expires END AS lease_expires FROM h""")
 def fence_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger, none = orders_ledger(spark, sf_dir), F.lit(None).cast("string")
-    writes = _writes(spark, sf_dir, F.lit(1).alias("token"), F.lit(S.SUCCEEDED).alias("state"), F.lit("1").alias("result"), none.alias("result_ref"), none.alias("error"))
+    """Fenced writes of four states to rows that still carry what an earlier attempt left."""
+    ledger, none = _worn(spark, sf_dir), F.lit(None).cast("string")
+    to = F.array(*map(F.lit, (S.SUCCEEDED, S.FAILED, S.AMBIGUOUS, S.EXECUTING)))[(F.floor(F.col("o_orderkey") / 3) % 4).cast("int")]
+    writes = _writes(spark, sf_dir, F.lit(1).alias("token"), to.alias("state"), F.lit("1").alias("result"), none.alias("result_ref"), F.lit("why").alias("error"))
     after, hits = transitions.fence(ledger, writes, NOW)
-    d = ledger.select("key", F.col("state").alias("was")).join(after.select("key", "state", "lease_owner"), "key").join(hits, "key", "left")
-    return d.select("key", "was", "state", F.coalesce("applied", F.lit(False)).alias("applied"), "lease_owner")
+    d = ledger.select("key", F.col("state").alias("was")).join(after.select("key", "state", "result", "error", "settled_at", "lease_owner", "lease_expires"), "key")
+    return d.join(hits, "key", "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
 
 
-@query(f"WITH {LEDGER} SELECT key, lease_owner = 'w0' AS applied, CASE WHEN lease_owner = 'w0' THEN 110.0::DOUBLE ELSE lease_expires END AS lease_expires FROM led WHERE o_orderkey % 2 = 0")
+@query(f"WITH {LEDGER} SELECT key, lease_owner = 'w0' AS applied, CASE WHEN lease_owner = 'w0' THEN 110.0::DOUBLE ELSE lease_expires END AS lease_expires FROM led")
 def heartbeat_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     after, hits = transitions.heartbeat(orders_ledger(spark, sf_dir), _writes(spark, sf_dir, F.lit("w0").alias("owner"), F.lit(10.0).alias("lease_seconds")), 100.0)
     return hits.join(after.select("key", "lease_expires"), "key")
 
 
-@query(f"""WITH {LEDGER}, e AS (SELECT *, o_orderkey % 4 = 0 AS failed FROM led WHERE o_orderkey % 2 = 0),
+@query(f"""WITH {LEDGER}, e AS (SELECT *, o_orderkey % 4 = 0 AS failed FROM led),
 h AS (SELECT *, CASE WHEN failed THEN state = 'AMBIGUOUS' ELSE state IN ('AMBIGUOUS', 'FAILED') END AS applied FROM e)
 SELECT key, applied, CASE WHEN NOT applied THEN state WHEN failed THEN 'FAILED' ELSE 'SUCCEEDED' END AS state, CASE WHEN applied THEN 'late_evidence' END AS resolved_by FROM h""")
 def late_evidence_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +341,7 @@ def late_evidence_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(after.select("key", "state", "resolved_by"), "key")
 
 
-@query(f"""WITH {LEDGER}, a AS (SELECT *, o_orderkey % 4 = 0 AS won, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE fingerprint END AS mine FROM led WHERE o_orderkey % 2 = 0)
+@query(f"""WITH {LEDGER}, a AS (SELECT *, o_orderkey % 4 = 0 AS won, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE fingerprint END AS mine FROM led)
 SELECT key, CASE WHEN won THEN CASE WHEN state IN ('AMBIGUOUS', 'FAILED') THEN 'HEAL' WHEN state = 'SUCCEEDED' THEN CASE WHEN mine = fingerprint THEN 'ADOPT' ELSE 'DIVERGENT' END ELSE 'SURFACE' END
   ELSE CASE WHEN state = 'AMBIGUOUS' THEN 'HEAL' ELSE 'LEAVE' END END AS action FROM a""")
 def heal_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,6 +350,47 @@ def heal_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.heal(attempts, orders_ledger(spark, sf_dir)).select("key", "action")
 
 
+def _move_sql(to: str, sources: str, result: str = "result", error: str = "NULL") -> str:
+    timed = f"CASE WHEN hit THEN now END" if to in S.TERMINAL else "CAST(NULL AS TIMESTAMP)"  # noqa: F541
+    return f"""WITH {LEDGER}, h AS (SELECT *, state IN ({sources}) AS hit FROM led)
+SELECT key, hit AS applied, CASE WHEN hit THEN '{to}' ELSE state END AS state, CASE WHEN hit THEN {result} ELSE result END AS result, CASE WHEN hit THEN {error} END AS error, {timed} AS settled_at FROM h"""
+
+
+def _moved(pair: tuple[DataFrame, DataFrame]) -> DataFrame:
+    after, hits = pair
+    return hits.join(after.select("key", "state", "result", "error", "settled_at"), "key")
+
+
+@query(_move_sql(S.EXECUTING, "'CLAIMED'"))
+def mark_executing_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moved(transitions.mark_executing(orders_ledger(spark, sf_dir), _writes(spark, sf_dir)))
+
+
+@query(_move_sql(S.SUCCEEDED, "'EXECUTING', 'CLAIMED'", "'2'"))
+def record_success_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moved(transitions.record_success(orders_ledger(spark, sf_dir), _writes(spark, sf_dir, F.lit("2").alias("result"), F.lit(None).cast("string").alias("result_ref")), NOW))
+
+
+@query(_move_sql(S.FAILED, "'EXECUTING', 'CLAIMED'", error="'declined'"))
+def record_failure_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moved(transitions.record_failure(orders_ledger(spark, sf_dir), _writes(spark, sf_dir, F.lit("declined").alias("error")), NOW))
+
+
+@query(_move_sql(S.SUCCEEDED, "'EXECUTING'", "'3'"))
+def adopt_reconciled_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moved(transitions.settle_reconciled(orders_ledger(spark, sf_dir), _writes(spark, sf_dir, F.lit("3").alias("result")), NOW))
+
+
+@query(_move_sql(S.INTENDED, "'EXECUTING', 'CLAIMED'"))
+def reclaim_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moved(transitions.reclaim(orders_ledger(spark, sf_dir), _writes(spark, sf_dir)))
+
+
+@query(_move_sql(S.AMBIGUOUS, "'EXECUTING'"))
+def ambiguate_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moved(transitions.ambiguate(orders_ledger(spark, sf_dir), _writes(spark, sf_dir), NOW))
+
+
 @query(f"WITH {LEDGER} SELECT key, scope, tool, state, created_at FROM led WHERE state = 'AMBIGUOUS' AND tool = '1-URGENT' AND created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '1999-01-01'")
 def audit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.audit(orders_ledger(spark, sf_dir), state=S.AMBIGUOUS, tool="1-URGENT", since="1995-01-01T00:00:00Z", until="1999-01-01T00:00:00+00:00", ordered=False)
@@ -441,9 +513,243 @@ def flag_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.flag_density(p.where("p_partkey % 4 <> 2"), p).select("repo", "files", "findings")
 
 
-@query(f"WITH {LEDGER} SELECT key, state, fingerprint FROM led WHERE key = 'order-7'")
+@query(f"WITH {LEDGER} SELECT key, state, fingerprint, secret_id, result FROM led WHERE key = 'order-7'")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.lookup(orders_ledger(spark, sf_dir), "order-7").select("key", "state", "fingerprint")
+    return A.lookup(orders_ledger(spark, sf_dir), "order-7").select("key", "state", "fingerprint", "secret_id", "result")
+
+
+@query(f"WITH {LEDGER} SELECT result FROM led WHERE key = 'order-7'")
+def recorded_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of one effect, as the value that a caller gets, printed again."""
+    value = A.recorded_result(orders_ledger(spark, sf_dir), "order-7")
+    return spark.createDataFrame([(json.dumps(value, separators=(",", ":")),)], "result string")
+
+
+@query(f"WITH {LEDGER} SELECT key FROM led WHERE state = 'AMBIGUOUS'")
+def keys_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.keys_in(orders_ledger(spark, sf_dir), S.AMBIGUOUS)
+
+
+@query(f"WITH {LEDGER} SELECT key, scope, state FROM led WHERE scope = 'cust-37'")
+def audit_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.audit(orders_ledger(spark, sf_dir), scope="cust-37", ordered=False).select("key", "scope", "state")
+
+
+@query(f"""WITH {LEDGER}, {_WORN} SELECT key, scope, tool, state, fingerprint, result, error, created_at, settled_at, CAST(NULL AS VARCHAR) AS resolved_by, provider_dedup, reconcilable, key_version,
+  CAST(NULL AS VARCHAR) AS fingerprint_version, secret_id, CAST(NULL AS VARCHAR) AS result_ref FROM wrn""")
+def audit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns that an audit shows."""
+    return A.audit(_worn(spark, sf_dir), ordered=False)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own that the whole cluster sees, deleted when the session ends; only a local master may fall back to one of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise LedgerError("spark.checkpoint.dir must name a folder that the whole cluster sees")
+        root = f"file://{tempfile.gettempdir()}"
+    path = f"{root.rstrip('/')}/onceflow-{uuid.uuid4().hex}/{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+@query(f"WITH {LEDGER} SELECT key, created_at, json(result) AS result FROM led WHERE tool = '5-LOW'")
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit written as JSON lines by the executors, and read back."""
+    path = _scratch(spark, "audit-json")
+    A.write(A.audit(orders_ledger(spark, sf_dir), tool="5-LOW", ordered=False), path)
+    d = spark.read.schema("key string, created_at timestamp, result struct<order:long>").json(path)
+    return d.select("key", "created_at", F.to_json("result").alias("result"))
+
+
+@query(f"WITH {LEDGER} SELECT key, state, result, CAST(o_orderkey % 2 = 0 AS VARCHAR) AS even FROM led WHERE tool = '5-LOW'")
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as CSV: results are the stored text, verbatim."""
+    path = _scratch(spark, "audit-csv")
+    rows = A.audit(orders_ledger(spark, sf_dir), tool="5-LOW", ordered=False)
+    A.write(rows.select("key", "state", "result", (F.split("key", "-")[1].cast("long") % 2 == 0).alias("even")), path, "csv")
+    return spark.read.option("header", True).csv(path).select("key", "state", "result", "even")
+
+
+@query(f"SELECT o_orderkey, {_hmac(_MESSAGE, SECRETS['a'])} AS fingerprint FROM orders")
+def fingerprint_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production form, which keeps the secret out of the plan."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", I.fingerprint(_order_message(), SECRETS["a"]).alias("fingerprint"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 <> 1 AS same FROM customer")
+def identity_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two calls are one action: the second has the email in capitals and another body (content), or another amount (identity)."""
+    from onceflow.plans.declarations import Declaration
+
+    d = Declaration("mail", {"body": "content"}, normalizers={"email": "email"})
+    k = F.col("c_custkey")
+    one = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c"), _text(k), F.lit("@example.com")).alias("email"), k.alias("amount"), F.lit("x").alias("body"))
+    other = one.select("c_custkey", F.concat(F.lit(" C"), _text(k), F.lit("@EXAMPLE.com")).alias("email"), (k + (k % 3 == 1).cast("long")).alias("amount"), F.lit("y").alias("body"))
+    prints = [c.select("c_custkey", I.fingerprint(d.message(c.drop("c_custkey").schema), SECRETS["a"]).alias(n)) for c, n in ((one, "a"), (other, "b"))]
+    return prints[0].join(prints[1], "c_custkey").select("c_custkey", (F.col("a") == F.col("b")).alias("same"))
+
+
+_F_BYTES = f"unhex('66') || {_framed('encode(CAST(c_acctbal AS VARCHAR))')}"
+
+
+@query(f"SELECT c_custkey, md5({_F_BYTES}) AS digest FROM customer WHERE c_acctbal <> 0")
+def canonical_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").where("c_acctbal <> 0").select("c_custkey", F.md5(C.canonical_udf(F.col("c_acctbal"))).alias("digest"))
+
+
+@query(f"""SELECT o_orderkey, md5(unhex('64') || {_framed("encode(CAST(o_orderkey AS VARCHAR) || '.25')")}) AS digest FROM orders""")
+def canonical_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decimal's trailing zeros don't count."""
+    value = (F.col("o_orderkey").cast("decimal(20,4)") + F.lit(Decimal("0.2500"))).cast("decimal(24,6)")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.md5(C.canonical_udf(value)).alias("digest"))
+
+
+@query(f"""SELECT o_orderkey, md5(unhex('74') || {_framed("encode(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00')")}) AS digest FROM orders""")
+def canonical_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.md5(C.canonical(F.col("o_orderdate").cast("timestamp"), T.TimestampType())).alias("digest"))
+
+
+@query("SELECT c_custkey, 'j' || chr(233) || c_custkey || '@example.com' AS email FROM customer")
+def norm_email_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses whose accents stand apart from their letters."""
+    mail = F.concat(F.lit(" Je\u0301"), _text(F.col("c_custkey")), F.lit("@EXAMPLE.com "))
+    return table(spark, sf_dir, "customer").select("c_custkey", N.email(mail).alias("email"))
+
+
+_SOURCES = [
+    "import requests\nrequests.post('u')\n", "import requests\ndef f():\n    requests.post('u')\nguard(f)\n", "import stripe\nstripe.Charge.create(amount=1)\n",
+    "import boto3\nc = boto3.client('ses')\nc.send_email()\nc.list_identities()\n", "import smtplib\nwith smtplib.SMTP('h') as m:\n    m.sendmail('a', 'b', 'c')  # effect: safe\n    m.send_message('x')\n",
+    "# effect: safe-file\nimport requests\nrequests.post('u')\n", "from httpx import put as p\np('u')\n",
+]
+_FINDINGS = """WITH f(k, line, shown) AS (VALUES (0, 2, 'requests.post'), (2, 2, 'stripe.Charge.create'), (3, 3, 'c.send_email'), (4, 4, 'm.send_message'), (6, 2, 'httpx.put')),
+r AS (SELECT 'g' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.py' AS path, line, shown FROM part JOIN f ON p_partkey % 7 = k)"""
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from onceflow.operators.scanner import scan
+
+    body = F.array(*map(F.lit, _SOURCES))[(F.col("p_partkey") % len(_SOURCES)).cast("int")]
+    name = F.concat(F.lit("g"), F.lpad(_text(F.col("p_partkey")), 9, "0"), F.lit(".py"))
+    return scan(table(spark, sf_dir, "part").select(name.alias("path"), body.cast("binary").alias("content")))
+
+
+@query(f"{_FINDINGS} SELECT path, CAST(line AS INTEGER) AS line, 'unguarded: ' || shown AS called, 'warning' AS severity FROM r")
+def scan_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of call, with what a guard, a line's mark and a file's mark clear."""
+    from onceflow.operators.scanner import with_severity
+
+    return with_severity(_catalogue(spark, sf_dir)).select("path", "line", F.split("message", ";")[0].alias("called"), "severity")
+
+
+@query(f"{_FINDINGS} SELECT CAST(row_number() OVER (ORDER BY path, line) AS BIGINT) AS place, path || ':' || line || ':' AS head FROM r")
+def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text report in its order, written by the executors and read back line by line."""
+    from onceflow.operators.scanner import as_text
+
+    path = _scratch(spark, "report")
+    as_text(_catalogue(spark, sf_dir).orderBy("path", "line", "col")).write.text(path)
+    files = spark.read.text(path).select("value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    whole = files.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("lines"))  # a test table: a file's lines are few
+    start = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("before", F.coalesce(F.sum(F.size("lines")).over(start), F.lit(0)))  # a row a file
+    return whole.select("before", F.posexplode("lines").alias("i", "l")).select((F.col("before") + F.col("i") + 1).alias("place"), F.regexp_extract("l.value", r"^([^:]*:\d+:)", 1).alias("head"))
+
+
+@query("SELECT * FROM (VALUES ('mail', 'L0', false, false), ('ask', 'L1', false, true), ('pay', 'L2', true, false), ('both', 'L2R', true, true)) t(tool, level, provider_dedup, reconcilable)")
+def document_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents parsed, bound, printed and parsed again, and registered."""
+    from onceflow.plans import declarations as D
+
+    raws = [{"sed": 1, "tool": "mail", "level": "l0am"}, {"sed": 1, "tool": "ask", "reconcile": {"ref": "read"}}, {"sed": 1, "tool": "pay", "provider_key": {"param": "idem", "ttl_s": 60}}]
+    raws.append({"sed": 1, "tool": "both", "level": "l2r", "args": {"to": {"normalize": "email"}}, "provider_key": {"param": "k"}, "reconcile": {"ref": "read", "provider_read": "strong"}})
+    return D.Registry(D.load(D.emit(D.parse(raw)), {"read": str}) for raw in raws).frame(spark).select("tool", "level", "provider_dedup", "reconcilable")
+
+
+# -- the engine, from end to end
+
+
+def _ok(pdf):
+    return pdf.assign(outcome="ok", result="1", result_ref=None, error=None)[["key", "outcome", "result", "result_ref", "error"]]
+
+
+def _ends(pdf):
+    """By the arrival: well, a clean failure, or no answer at all."""
+    out = _ok(pdf)[pdf["arrival"] % 5 != 4].copy()
+    out.loc[pdf["arrival"] % 5 == 3, "outcome"] = "clean_failure"
+    return out
+
+
+def _full(requests: DataFrame, tool: Column) -> DataFrame:
+    sid = F.lit(None).cast("string")
+    flags = {c: F.lit(False) for c in ("provider_dedup", "reconcilable") if c not in requests.columns}
+    return requests.withColumns({"scope": F.lit("global"), "tool": tool, "secret_id": sid, "provider_ttl_s": F.lit(None).cast("double"), **flags})
+
+
+def _settled_events(spark: SparkSession, sf_dir: str, dispatch) -> tuple[DataFrame, DataFrame]:
+    from onceflow.plans.declarations import Declaration, Registry
+    from onceflow.plans.engine import Engine
+
+    engine = Engine(spark, _scratch(spark, "ledger"), Registry([Declaration("x")]), b"secret")
+    out = engine.settle(_full(_event_requests(spark, sf_dir), F.col("tool")), dispatch)
+    return out, engine.ledger.read()
+
+
+@query(f"WITH {_EVENTS} SELECT event_id AS arrival, key, outcome, CASE WHEN outcome <> 'DIVERGENT' THEN '1' END AS result FROM dec")
+def engine_settle_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of requests decided, committed, dispatched and recorded."""
+    return _settled_events(spark, sf_dir, _ok)[0].select("arrival", "key", "outcome", "result")
+
+
+@query(f"WITH {_EVENTS} SELECT key, arg_min(event_type, event_id) AS tool, arg_min(fingerprint, event_id) AS fingerprint, 'SUCCEEDED' AS state, '1' AS result, 'v1' AS key_version FROM ev GROUP BY key")
+def ledger_after_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batch left in the ledger: one row a key, whatever its number of requests."""
+    return _settled_events(spark, sf_dir, _ok)[1].select("key", "tool", "fingerprint", "state", "result", "key_version")
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, q AS (SELECT event_id, key, fingerprint, event_id % 5 AS m, row_number() OVER (PARTITION BY key ORDER BY event_id) AS n FROM ev),
+-- the claimant in turn: a clean failure lets the next of the same action try; one without an answer leaves it in flight
+s AS (SELECT key, n, fingerprint AS fp, CASE m WHEN 3 THEN 'FAILED' WHEN 4 THEN 'UNKNOWN' ELSE 'PROCEED' END AS outcome, CASE m WHEN 3 THEN 'FAILED' WHEN 4 THEN 'EXECUTING' ELSE 'SUCCEEDED' END AS state FROM q WHERE n = 1
+      UNION ALL
+      SELECT q.key, q.n, s.fp,
+             CASE s.state WHEN 'EXECUTING' THEN 'IN_FLIGHT' WHEN 'SUCCEEDED' THEN CASE WHEN q.fingerprint = s.fp THEN 'REPLAY' ELSE 'DIVERGENT' END
+               ELSE CASE WHEN q.fingerprint <> s.fp THEN 'DIVERGENT' WHEN m = 3 THEN 'FAILED' WHEN m = 4 THEN 'UNKNOWN' ELSE 'PROCEED' END END,
+             CASE WHEN s.state = 'FAILED' AND q.fingerprint = s.fp THEN CASE m WHEN 3 THEN 'FAILED' WHEN 4 THEN 'EXECUTING' ELSE 'SUCCEEDED' END ELSE s.state END
+      FROM s JOIN q ON q.key = s.key AND q.n = s.n + 1)
+SELECT q.event_id AS arrival, s.outcome FROM s JOIN q ON q.key = s.key AND q.n = s.n""")
+def engine_settle_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects that fail cleanly let the next request of their key try, until none is left; where dispatch gives no answer nobody knows."""
+    return _settled_events(spark, sf_dir, _ends)[0].select("arrival", "outcome")
+
+
+@query(f"WITH {_EVENTS}, o AS (SELECT CASE outcome WHEN 'PROCEED' THEN 'settled' WHEN 'REPLAY' THEN 'replayed' END AS event, key FROM dec) SELECT event, count(*) AS n, count(DISTINCT key) AS keys FROM o WHERE event IS NOT NULL GROUP BY event")
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of a batch."""
+    from onceflow.plans.notices import notices as of
+
+    return of(_decided_events(spark, sf_dir)).groupBy("event").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+
+
+@query(f"""WITH {LEDGER}, {_NAMELESS}, rq AS (SELECT 'order-' || (o_orderkey + 7 * i) AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'fp-other' ELSE 'fp-' || ((o_orderkey + 7 * i) % 11) END AS fingerprint,
+    o_orderkey * 2 + i AS arrival, CASE WHEN o_orderkey % 5 < 4 THEN o_orderkey % 5 < 2 END AS provider_dedup, CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey % 5 = 1 END AS reconcilable, 'w9' AS owner FROM orders, (VALUES (0), (1)) t(i)),
+j AS (SELECT r.*, l.state, l.fingerprint AS stored, {_LEASED} AS seen FROM rq r LEFT JOIN hld l ON r.key = l.key),
+a AS (SELECT *, seen IN ('PROCEED', 'RECONCILE') OR (seen = 'AMBIGUOUS' AND state = 'EXECUTING') AS acts FROM j),
+f AS (SELECT key, min(arrival) AS lead, arg_min(seen, arrival) AS led, arg_min(CASE WHEN state = 'EXECUTING' THEN stored ELSE fingerprint END, arrival) AS fp FROM a WHERE acts GROUP BY key)
+-- the first that acts ends well, or, where a provider had to be asked and none is declared, ambiguous; those after it meet what it left
+SELECT arrival, CASE WHEN acts AND arrival = lead THEN CASE WHEN seen = 'PROCEED' THEN 'PROCEED' ELSE 'AMBIGUOUS' END
+                     WHEN acts AND fingerprint <> fp THEN 'DIVERGENT' WHEN acts AND led = 'PROCEED' THEN 'REPLAY' WHEN acts THEN 'AMBIGUOUS' ELSE seen END AS outcome
+FROM a LEFT JOIN f ON a.key = f.key""")
+def leased_settle_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer among others: takes over what it may, waits for what is held, and gives up at its deadline."""
+    from onceflow.plans.declarations import Declaration, Registry
+    from onceflow.plans.leased import LeasedEngine
+
+    engine = LeasedEngine(spark, _scratch(spark, "leased"), Registry([Declaration("x")]), b"secret", owner="w9", clock=lambda: 50.0)
+    engine.ledger.update(lambda ledger: (_nameless(spark, sf_dir), None), "as it was")
+    requests = _full(_requests(spark, sf_dir).drop("owner"), F.lit("x"))
+    return engine.settle(requests, _ok, wait_timeout=0).select("arrival", "outcome")
 
 
 @query("WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS k FROM orders) SELECT o_orderkey, k <> 1 AS lossless FROM o")

@@ -31,8 +31,8 @@ COMPACT = 16
 class _Files:
     """The few file operations that a commit needs, through Hadoop's file systems."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, synced: bool | None = None):
+        self.jvm, self.root, self.synced = spark._jvm, root.rstrip("/"), synced
         self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> Any:
@@ -56,7 +56,11 @@ class _Files:
         aside = self.path(f"_aside/{uuid.uuid4().hex}")
         out = self.fs.create(aside, False)
         out.write(bytearray(text.encode()))
-        out.hsync() if out.hasCapability("hsync") else out.flush()
+        if self.synced and not out.hasCapability("hsync"):
+            out.close()
+            self.fs.delete(aside, False)
+            raise LedgerError(f"{self.root}: this storage can't be made to keep a commit through a power loss; synced=False accepts that")
+        out.hsync() if self.synced is not False and out.hasCapability("hsync") else out.flush()
         out.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri())
         self.fs.mkdirs(self.path(name).getParent())
@@ -74,10 +78,13 @@ class _Files:
 
 
 class Ledger:
-    """A ledger's current state and its commits. Use as a context manager where an open handle should be bounded."""
+    """A ledger's current state and its commits. Use as a context manager where an open handle should be bounded.
+
+    synced: True refuses storage that can't be told to bring a commit's name to disk, False accepts that a power loss may take the last
+    commits and is faster, None does what the storage can. The rows are as durable as the storage makes a closed file."""
 
-    def __init__(self, spark: SparkSession, path: str, *, create: bool = False, multi_worker: bool = False):
-        self.spark, self.path, self.files = spark, path.rstrip("/"), _Files(spark, path)
+    def __init__(self, spark: SparkSession, path: str, *, create: bool = False, multi_worker: bool = False, synced: bool | None = None):
+        self.spark, self.path, self.files = spark, path.rstrip("/"), _Files(spark, path, synced)
         if not self.files.exists("_meta.json"):
             if not create:
                 raise LedgerNotFound(f"no ledger at {path}")
@@ -91,6 +98,17 @@ class Ledger:
         if create and (self.meta["mode"] == "multi") != multi_worker:
             raise LedgerError(f"{path} is a {self.meta['mode']}-worker ledger")
 
+    @property
+    def synced_commits(self) -> bool:
+        """Whether a commit's name is on disk, as far as the storage tells, when the commit returns."""
+        probe = self.files.path(f"_aside/{uuid.uuid4().hex}")
+        out = self.files.fs.create(probe, False)
+        try:
+            return self.files.synced is not False and out.hasCapability("hsync")
+        finally:
+            out.close()
+            self.files.fs.delete(probe, False)
+
     @property
     def multi_worker(self) -> bool:
         return self.meta["mode"] == "multi"
@@ -168,11 +186,16 @@ class Ledger:
         raise CommitConflict(f"no commit in {tries} tries")
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Deletes what none of the last commits names; returns it. No writer may be at work."""
+        """Deletes what none of the last commits names, older commits, and the batches' own tables; returns what went of the state. No writer may be at work, and no
+        result of a batch may still be read."""
         last = self.version()
         commits = [self._commit(v) for v in range(max(1, last - keep + 1), last + 1)]
         named = {n for c in commits for n in (c["base"], *c["deltas"])}
         gone = [n for n in self.files.names("state") if n not in named]
         for n in gone:
             self.files.fs.delete(self.files.path(f"state/{n}"), True)
+        for v in range(last - keep, 0, -1):
+            if not self.files.fs.delete(self.files.path(f"commits/{v:020d}.json"), False):
+                break  # those before went earlier
+        self.files.fs.delete(self.files.path("_batches"), True)
         return gone

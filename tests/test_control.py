@@ -201,7 +201,13 @@ def test_metrics(spark):
     numbers = spark.range(250_001).selectExpr("cast(pmod(id * 7919, 250001) as double) v")
     assert {r.p: r.value for r in metrics.percentiles(numbers, "v").collect()} == {50.0: 125000.0, 95.0: 237500.0, 99.0: 247500.0, 100.0: 250000.0}
     same = spark.range(150_000).selectExpr("cast(id > 10 as double) v")
-    assert metrics.value_at(same, "v", 10) == 0.0 and metrics.value_at(same, "v", 11) == 1.0
+    assert {r.p: r.value for r in metrics.percentiles(same, "v", (0,)).collect()} == {0.0: 0.0, 100.0: 1.0}
+    odd = [float("-inf"), -1e300, -2.5, -0.0, 0.0, 5e-324, 1e-5, 3.0, 1e300, float("inf"), None]
+    got = metrics.percentiles(spark.createDataFrame([(v,) for v in odd], "v double"), "v", tuple(100 * i / 9 for i in range(9))).orderBy("p").collect()
+    assert [r.value for r in got] == sorted(v for v in odd if v is not None)
+    longs = [-(2**63), -1, 0, 2**53, 2**53 + 1, 2**63 - 1]
+    got = metrics.percentiles(spark.createDataFrame([(v,) for v in longs], "v long"), "v", tuple(20.0 * i for i in range(5))).orderBy("p").collect()
+    assert [r.value for r in got] == longs and metrics.percentiles(same.limit(0), "v").count() == 0
     f, n = (spark.createDataFrame(x, "repo string, path string") for x in ([("a", "x")], [("a", "x"), ("a", "y"), ("b", "z")]))
     assert {r.repo: (r.files, r.findings) for r in metrics.flag_density(f, n).collect()} == {"a": (2, 1), "b": (1, 0), None: (3, 1)}
 
