@@ -166,13 +166,18 @@ class Engine:
         while True:
             here = f"{base}/{n:03d}"
 
-            def claim(ledger: DataFrame, todo: DataFrame = todo, here: str = here) -> tuple[DataFrame, DataFrame]:
+            def claim(ledger: DataFrame, todo: DataFrame = todo, here: str = here) -> tuple[DataFrame | None, DataFrame]:
                 ledger = self._touched(ledger, todo)
                 claims.decide_claim(todo, ledger, self._matches(todo)).drop("stored_fingerprint").write.mode("overwrite").parquet(f"{here}/decided")
                 decided = self.spark.read.parquet(f"{here}/decided")
-                return self._claimed(ledger, decided.where("outcome = 'PROCEED'")), decided
+                leaders = decided.where("outcome = 'PROCEED'")
+                return self._claimed(ledger, leaders) if leaders.take(1) else None, decided
 
             decided = self.ledger.update(claim, "claim")  # first commit: EXECUTING before anything is sent
+            if not decided.where("outcome = 'PROCEED'").take(1):  # all of it is known: no commit, nothing to send
+                done.append(decided.drop("follows"))
+                self._tell(notices(done[-1]))
+                break
             seam("after_mark_executing")
             outcomes = self._send(decided.where("outcome = 'PROCEED'"), dispatch, here)
             seam("after_dispatch")

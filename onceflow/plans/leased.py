@@ -105,10 +105,11 @@ class LeasedEngine(Engine):
         return reduce(DataFrame.unionByName, done).drop("fingerprints", "owner")
 
     def _claim(self, todo: DataFrame, here: str) -> DataFrame:
-        def change(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+        def change(ledger: DataFrame) -> tuple[DataFrame | None, DataFrame]:
             mine, now = self._touched(ledger, todo), self.clock()
             decided = self._stored(claims.decide_leased(todo, mine, now, self.lease_seconds, self._matches(todo)).drop("stored_fingerprint"), f"{here}/decided")
-            return leases.take(mine, decided, self._instant()), decided
+            acting = decided.where(F.col("new_token").isNotNull()).take(1)
+            return leases.take(mine, decided, self._instant()) if acting else None, decided
 
         return self.ledger.update(change, "claim")
 

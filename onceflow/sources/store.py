@@ -169,12 +169,14 @@ class Ledger:
         on = self.version()
         return self._create(on, self._write(self.read(on), on), [], "compact")
 
-    def update(self, change: Callable[[DataFrame], tuple[DataFrame, Any]], note: str = "", tries: int = 10) -> Any:
+    def update(self, change: Callable[[DataFrame], tuple[DataFrame | None, Any]], note: str = "", tries: int = 10) -> Any:
         """Reads, changes, commits; on a conflict all three again, so the decision is always about what is there. change gives
-        (changed rows, answer)."""
+        (changed rows, answer); None instead of rows makes no commit."""
         for _ in range(tries):
             on = self.version()
             changed, answer = change(self.read(on))
+            if changed is None:
+                return answer
             try:
                 self.write(changed, on, note)
             except CommitConflict:

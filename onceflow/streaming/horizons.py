@@ -45,10 +45,10 @@ class Horizon(StatefulProcessor):
         return
         yield  # a generator without rows
 
-    def handleExpiredTimer(self, key: tuple, timer_values: Any, expired_timer_info: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if self.open.exists():
             horizon, reason, _ = self.open.get()
-            if horizon <= expired_timer_info.get_expiry_time_in_ms():
+            if horizon <= expiredTimerInfo.getExpiryTimeInMs():
                 self.open.clear()
                 yield pd.DataFrame({"key": [key[0]], "reason": [reason], "horizon": [pd.Timestamp(horizon, unit="ms")]})
 
