@@ -224,7 +224,7 @@ def template_pattern(wording: str) -> str:
         elif part == "<<endoptional>>":
             out.append(")?")
         elif part.startswith("<<var"):
-            out.append(rf"((?:\|[^|]+\|){{1,{re.search(r'match=([0-9]+)', part)[1]}}})")
+            out.append(rf"((?:\|[^|]+\|){{1,{re.search(r'match=([0-9]+)', part)[1]}}}?)")  # as few free words as will do: the others are fixed wording
         else:
             out.append(rf"\|{part}\|")
     return "".join(out)
