@@ -399,6 +399,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert abs(sum(r.taken for r in final.values()) - target["s"]) <= 1
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Ids that are null or repeat, columns named like those that stages make, labels that say nothing, and a table without rows: each text stays once."""
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    item = prose(rng, 30)
+    rows = [(1, a, "s"), (1, b, "s"), (None, a, "s"), (None, c, None), (None, c, "s"), (3, "", "s"), (3, None, "s"), (4, f"x {item} y", "s"), (4, f"x {item} y", "s")]
+    columns = "doc_id long, text string, source string, score int, row int, __row0 int, label int, p int, node int, size int, target int"
+    d = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7, 8) for r in rows], columns)
+    marks = [(1, 1, 0), (1, 0, 1), (None, 1, 1), (4, None, None)]
+    for name, rows_ in (("some", d), ("none", d.limit(0))):
+        sf = tmp_path / name
+        rows_.write.parquet(str(sf / "documents.parquet"))
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(sf / "labels.parquet"))
+        spark.createDataFrame([(None, item), (7, None)], "item_id long, text string").write.parquet(str(sf / "benchmark.parquet"))
+    got = sorted((r.doc_id or -1, r["size"]) for r in corpus_pipeline.run(spark, str(tmp_path / "some")).collect())
+    assert got == [(-1, 40), (1, 40), (1, 40), (3, 0), (3, 0)]
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_shingle_sets_keep_whole_texts():
     sets = jaccard.shingle_sets(pa.array(ODD), 4)
     assert [len(s) for s in sets] == [len(shingles(t, 4)) for t in ODD]
