@@ -52,7 +52,8 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: The classifiers, the join and the edit matching are beyond SQL; tests hold each stage against a brute-force version.
+#: The classifiers, the join and the edit matching are beyond SQL. Tests hold near duplicates, decontamination and mixing against brute force, and the classifiers' stages
+#: against their scores, whose features, sums and thresholds are tested in plain Python.
 ORACLE_SQL = None
 
 
