@@ -350,7 +350,7 @@ def heal_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.heal(attempts, orders_ledger(spark, sf_dir)).select("key", "action")
 
 
-def _move_sql(to: str, sources: str, result: str = "result", error: str = "NULL") -> str:
+def _move_sql(to: str, sources: str, result: str = "result", error: str = "CAST(NULL AS VARCHAR)") -> str:
     timed = f"CASE WHEN hit THEN now END" if to in S.TERMINAL else "CAST(NULL AS TIMESTAMP)"  # noqa: F541
     return f"""WITH {LEDGER}, h AS (SELECT *, state IN ({sources}) AS hit FROM led)
 SELECT key, hit AS applied, CASE WHEN hit THEN '{to}' ELSE state END AS state, CASE WHEN hit THEN {result} ELSE result END AS result, CASE WHEN hit THEN {error} END AS error, {timed} AS settled_at FROM h"""
@@ -555,7 +555,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-@query(f"WITH {LEDGER} SELECT key, created_at, json(result) AS result FROM led WHERE tool = '5-LOW'")
+@query(f"WITH {LEDGER} SELECT key, created_at, CAST(json(result) AS VARCHAR) AS result FROM led WHERE tool = '5-LOW'")
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audit written as JSON lines by the executors, and read back."""
     path = _scratch(spark, "audit-json")
@@ -710,11 +710,11 @@ def ledger_after_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_EVENTS}, q AS (SELECT event_id, key, fingerprint, event_id % 5 AS m, row_number() OVER (PARTITION BY key ORDER BY event_id) AS n FROM ev),
--- the claimant in turn: a clean failure lets the next of the same action try; one without an answer leaves it in flight
-s AS (SELECT key, n, fingerprint AS fp, CASE m WHEN 3 THEN 'FAILED' WHEN 4 THEN 'UNKNOWN' ELSE 'PROCEED' END AS outcome, CASE m WHEN 3 THEN 'FAILED' WHEN 4 THEN 'EXECUTING' ELSE 'SUCCEEDED' END AS state FROM q WHERE n = 1
+-- the claimant in turn: a clean failure lets the next of the same action try, and shows those of another that they diverge; one without an answer leaves it in flight
+s AS (SELECT key, n, fingerprint AS fp, m = 3 AS failed, CASE m WHEN 3 THEN 'FAILED' WHEN 4 THEN 'UNKNOWN' ELSE 'PROCEED' END AS outcome, CASE m WHEN 3 THEN 'FAILED' WHEN 4 THEN 'EXECUTING' ELSE 'SUCCEEDED' END AS state FROM q WHERE n = 1
       UNION ALL
-      SELECT q.key, q.n, s.fp,
-             CASE s.state WHEN 'EXECUTING' THEN 'IN_FLIGHT' WHEN 'SUCCEEDED' THEN CASE WHEN q.fingerprint = s.fp THEN 'REPLAY' ELSE 'DIVERGENT' END
+      SELECT q.key, q.n, s.fp, s.failed,
+             CASE s.state WHEN 'EXECUTING' THEN CASE WHEN s.failed AND q.fingerprint <> s.fp THEN 'DIVERGENT' ELSE 'IN_FLIGHT' END WHEN 'SUCCEEDED' THEN CASE WHEN q.fingerprint = s.fp THEN 'REPLAY' ELSE 'DIVERGENT' END
                ELSE CASE WHEN q.fingerprint <> s.fp THEN 'DIVERGENT' WHEN m = 3 THEN 'FAILED' WHEN m = 4 THEN 'UNKNOWN' ELSE 'PROCEED' END END,
              CASE WHEN s.state = 'FAILED' AND q.fingerprint = s.fp THEN CASE m WHEN 3 THEN 'FAILED' WHEN 4 THEN 'EXECUTING' ELSE 'SUCCEEDED' END ELSE s.state END
       FROM s JOIN q ON q.key = s.key AND q.n = s.n + 1)
