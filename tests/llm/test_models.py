@@ -136,7 +136,8 @@ def test_attention_learns_from_every_window(spark):
     assert all(np.allclose(model.weights[k], again.weights[k], atol=1e-3) for k in model.weights)
 
 
-def test_windows_and_counts_cover_all_training_texts(spark):
+def test_windows_and_counts_cover_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_TOGETHER", 2)  # sums of several tasks, in several levels
     rng = random.Random(8)
     texts = [*ODD[:4], "", None, *[prose(rng, rng.randrange(1, 300)) for _ in range(30)], "x y " * 5_000]
     sub = lm.Subwords(lm.VOCABULARY)
@@ -148,7 +149,8 @@ def test_windows_and_counts_cover_all_training_texts(spark):
             want.update(tuple(ids[k : k + lm.WINDOW + 1]) for k in range(0, len(ids) - 1, lm.WINDOW))
             counts.update(ids[1:])
             pairs.update((lm.SLOTS if a == lm._START else int(slot[a]), int(slot[b])) for a, b in zip(ids, ids[1:], strict=False))
-    rows = lm.training_windows(docs(spark, texts), lm.VOCABULARY, 1)
+    rows = lm.training_windows(docs(spark, texts).repartition(7), lm.VOCABULARY, 1)
+    rows = rows.repartition(7)
     got = Counter()
     for r in rows.collect():
         got.update(tuple(x.tolist()) for x in np.split(np.frombuffer(r.ids, "<u2"), np.cumsum(np.frombuffer(r.sizes, "u1"), dtype=int)[:-1]))
