@@ -3,6 +3,7 @@
 import bisect
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -123,6 +124,50 @@ def test_quality_learns_preferences():
     assert abs(np.mean(worth < model.threshold) - np.mean(y == 0)) < 0.03
 
 
+def test_quality_takes_every_pair():
+    """Loss and slope are those of all pairs, bins those of all rows, and rows given twice change nothing."""
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(size=(90, 3)), 1)
+    y = (x[:, 0] + r.normal(size=90) > 0.8).astype(int)
+    total = lambda count: count(x, y)
+    good, poor = int(y.sum()), int((1 - y).sum())
+    edges = quality._quantiles(total, good, poor, 3, 8)
+    for j in range(3):
+        rows = sorted((v, poor if c else good) for v, c in zip(x[:, j], y, strict=True))
+        upto = np.cumsum([m for _, m in rows])
+        assert np.allclose(edges[j], [rows[np.searchsorted(upto, i / 8 * upto[-1], side="right")][0] for i in range(1, 8)], rtol=1e-5, atol=1e-9)
+    b = quality._binned(edges, x)
+    pairs = quality._Pairs(lambda count: count(b, y), good, poor, (3, 8))
+    w = r.integers(-300, 300, 24) * quality._UNIT
+    hot = np.zeros((90, 24))
+    hot[np.arange(90)[:, None], b + np.arange(3) * 8] = 1
+    far = (hot[y == 0, None] - hot[None, y == 1]).reshape(-1, 24)
+    seen = pairs.histogram(w)
+    assert math.isclose(pairs.loss(w, seen), np.logaddexp(0, far @ w).mean() + 5e-5 * w @ w, rel_tol=1e-9)
+    assert np.allclose(pairs.slope(w, seen), (far / (1 + np.exp(-far @ w))[:, None]).mean(0) + 1e-4 * w, atol=1e-7)
+    one, two = quality.fit(x, y, 0.3), quality.fit(np.repeat(x, 2, 0), np.repeat(y, 2), 0.3)
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.edges, two.edges) and one.threshold == two.threshold
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows of each class than a sample once held: executors' sums give what all rows in memory give, however they are dealt."""
+    r = np.random.default_rng(8)
+    texts, marks = [], []
+    for i in range(16_000):
+        words = r.integers(0, 50, 6)
+        poor = i % 2 == int(r.random() < 0.1)
+        texts.append(" ".join(f"W{w}!" if poor or w < 3 else f"w{w}" for w in words))
+        marks.append(0 if i % 2 == 0 else 1)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int")
+    on = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(len(texts))])
+    y = np.array(marks)[on]
+    assert min(y.sum(), (1 - y).sum()) > 6000
+    want = quality.fit(quality.features(pa.array(np.array(texts)[on].tolist())), y, float(np.mean(y == 0)))
+    got = quality.train(d, labels)
+    assert np.array_equal(got.edges, want.edges) and np.array_equal(got.weights, want.weights) and got.threshold == want.threshold
+
+
 # -- language model
 
 
