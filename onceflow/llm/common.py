@@ -1,4 +1,4 @@
-"""What several operators share: scratch tables, vectorised words, hashes, model fitting samples."""
+"""What several operators share: scratch tables, vectorised words, hashes."""
 
 from __future__ import annotations
 
@@ -163,18 +163,3 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 def id_crc(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, train_only: bool = True) -> DataFrame:
-    """At most per_class labelled rows of each class, the first by a hash of their ids: (doc_id, text, label).
-
-    Rows with a null id, or whose id the labels mark in two ways, take no part. The ids chosen are 2 * per_class at most and
-    are broadcast under that bound."""
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-    ids = ids.groupBy("doc_id").agg(F.min(label).alias("__y"), F.max(label).alias("__z")).where("__y = __z").select("doc_id", "__y")
-    if train_only:
-        ids = ids.where(crc_remainder(F.col("doc_id")) != 0)
-    ids = ids.withColumn("__h", F.xxhash64(F.lit(17), "doc_id"))
-    parts = [ids.where(F.col("__y") == y).orderBy("__h", "doc_id").limit(per_class) for y in (0, 1)]
-    few = parts[0].unionByName(parts[1]).select("doc_id", F.col("__y").cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")

@@ -412,6 +412,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert abs(sum(r.taken for r in final.values()) - target["s"]) <= 1
 
 
+def test_pipeline_learns_quality_from_every_labelled_row(spark, tmp_path):
+    """More labelled rows of each class than a sample once held: the stage keeps what a model of all rows in memory keeps."""
+    r, texts = np.random.default_rng(12), []
+    for i in range(16_000):
+        poor = (i % 2 == 0) != (r.random() < 0.1)
+        texts.append(" ".join(f"W{w}!" if poor or w < 3 else f"w{w}" for w in r.integers(0, 50, 6)))
+    marks = [i % 2 for i in range(len(texts))]
+    spark.createDataFrame([(i, m, 0) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = docs(spark, texts)
+    on = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(len(texts))])
+    y, all_texts = np.array(marks)[on], pa.array(texts)
+    model = quality.fit(quality.features(all_texts.filter(pa.array(on))), y, float(np.mean(y == 0)))
+    kept = {x.doc_id for x in corpus_pipeline.quality(spark, d, str(tmp_path)).select("doc_id").collect()}
+    assert min(y.sum(), (1 - y).sum()) > 6000 and kept == set(np.flatnonzero(model.scores(all_texts) >= 0.3).tolist())
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     """Ids that are null or repeat, columns named like those that stages make, labels that say nothing, and a table without rows: each text stays once."""
     rng = random.Random(11)
