@@ -19,6 +19,7 @@ count is 0 and the base score adds log10(0.5 / 0.5) = 0 a token; repeated rows c
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,11 @@ WINDOW, OVERLAP = 64, 8
 WIDTH, HIDDEN, CLUSTERS, MEMBERS = 16, 32, 32, 32
 #: Bound of queries, keys and values; a product of WIDTH of them over its root stays below 88.
 _BOUND = 4.5
+_SCALE = np.float32(WIDTH**-0.5)
+#: Windows whose attention weights are worked out at once: few enough to stay in a core's cache.
+_PART = 16
+#: Places whose outputs' probabilities are worked out at once, likewise.
+_ROWS = 2048
 #: What stands before a text's first id in stored windows: no id of the vocabulary.
 _START = 65535
 #: Rounds hold growing shares of the windows, in 64ths: these are their ends. Tasks agree often while weights move fast.
@@ -109,6 +115,25 @@ def clustered(pairs: np.ndarray) -> np.ndarray:
     return new
 
 
+class Space:
+    """Arrays that one batch after another is worked out in. New ones for each batch would cost more than the work: the system hands out their memory page by page."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        """An array of that shape, whose numbers are of no meaning, good until the name is asked for again."""
+        size, x = math.prod(shape), self.held.get(name)
+        if x is None or len(x) < size or x.dtype != kind:
+            x = self.held[name] = np.empty(size, kind)
+        return x[:size].reshape(shape)
+
+
+def _qkv(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of queries, keys, and values with what stands beside them."""
+    return x[..., :WIDTH], x[..., WIDTH : 2 * WIDTH], x[..., 2 * WIDTH :]
+
+
 @dataclass
 class Model:
     slot: np.ndarray  # output of each id; also its row of the embedding, SLOTS being a text's beginning
@@ -137,84 +162,118 @@ class Model:
         weights = {"embed": draw(SLOTS + 1, WIDTH), "place": draw(WINDOW, WIDTH), "qkv": draw(WIDTH, 3 * WIDTH), "out": draw(WIDTH, WIDTH), "up": draw(WIDTH, HIDDEN), "down": draw(HIDDEN, WIDTH), "top": np.zeros((WIDTH, CLUSTERS), np.float32), "inner": np.zeros((CLUSTERS, WIDTH, MEMBERS), np.float32)}
         return cls(slot, within.astype(np.float32), np.log(top).astype(np.float32), np.log(inner).astype(np.float32), weights)
 
-    def hidden(self, read: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def hidden(self, read: np.ndarray, keep: dict | None = None, space: Space | None = None) -> np.ndarray:
         """The attention layer's output at each place of windows of outputs read."""
-        w = self.weights
-        b, t = read.shape
-        x = (w["embed"].take(read, 0) + w["place"][:t]).reshape(-1, WIDTH)
-        qkv = x @ w["qkv"]
+        w, space = self.weights, space or Space()
+        (b, t), kind = read.shape, w["embed"].dtype
+        n = b * t
+        x = np.take(w["embed"], read.reshape(-1), 0, out=space("x", kind, n, WIDTH), mode="clip")
+        x.reshape(b, t, WIDTH)[:] += w["place"][:t]
+        # projected by row of the embedding and by place; a column of ones beside the values: one product gives the weighted sums and what to divide them by
+        project = np.concatenate([w["qkv"], np.zeros((WIDTH, 1), kind)], 1)
+        qkv = np.take(w["embed"] @ project, read.reshape(-1), 0, out=space("qkv", kind, n, 3 * WIDTH + 1), mode="clip")
+        qkv.reshape(b, t, -1)[:] += w["place"][:t] @ project
         np.clip(qkv, -_BOUND, _BOUND, out=qkv)  # so that no exp overflows
-        q, k, v = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(b, t, WIDTH) for i in range(3))
-        a = np.matmul(q * np.float32(WIDTH**-0.5), np.ascontiguousarray(k.transpose(0, 2, 1)))
-        a += np.triu(np.full((t, t), -np.inf, np.float32), 1)  # causal
-        np.exp(a, out=a)
-        # a column of ones beside the values: one product gives the weighted sums and what to divide them by
-        z = np.matmul(a, np.concatenate([v, np.ones((b, t, 1), np.float32)], 2))
-        total = z[..., WIDTH:]
-        z = (z[..., :WIDTH] / total).reshape(-1, WIDTH)
-        if keep is not None:
-            a /= total
-        y = x + z @ w["out"]
-        u = np.maximum(y @ w["up"], 0)
-        h = y + u @ w["down"]
+        qkv[:, :WIDTH] *= _SCALE
+        qkv[:, 3 * WIDTH] = 1
+        q, k, v = _qkv(qkv.reshape(b, t, -1))
+        causal = np.tri(t, dtype=kind)
+        a = space("a", kind, b if keep is not None else min(b, _PART), t, t)
+        sums = space("sums", kind, b, t, WIDTH + 1)
+        for s in range(0, b, _PART):
+            few = slice(s, min(b, s + _PART))
+            part = a[few] if keep is not None else a[: few.stop - s]
+            np.matmul(q[few], k[few].transpose(0, 2, 1), out=part)
+            np.exp(part, out=part)
+            part *= causal
+            np.matmul(part, v[few], out=sums[few])
+            if keep is not None:
+                part *= 1 / sums[few, :, WIDTH:]
+        z = np.divide(sums[..., :WIDTH], sums[..., WIDTH:], out=space("z", kind, b, t, WIDTH)).reshape(n, WIDTH)
+        y = np.matmul(z, w["out"], out=space("y", kind, n, WIDTH))
+        y += x
+        u = np.matmul(y, w["up"], out=space("u", kind, n, HIDDEN))
+        np.maximum(u, 0, out=u)
+        h = np.matmul(u, w["down"], out=space("h", kind, n, WIDTH))
+        h += y
         if keep is not None:
-            keep |= {"x": x, "q": q, "k": k, "v": v, "a": a, "z": z, "y": y, "u": u, "h": h}
+            keep |= {"x": x, "qkv": qkv, "a": a, "z": z, "y": y, "u": u}
         return h
 
-    def logs(self, h: np.ndarray, before: np.ndarray, target: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+    def logs(self, h: np.ndarray, before: np.ndarray, target: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None, space: Space | None = None) -> np.ndarray:
         """Log of the target outputs' probabilities. With grads, also the gradients of -weight * log into it, and h's as "h"."""
-        w, n = self.weights, np.arange(len(target))
+        w, space, n, kind = self.weights, space or Space(), len(target), h.dtype
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # places by the cluster of their target: one product a cluster
+        target, before = target.take(order), before.take(order)
         cluster, member = target // MEMBERS, target % MEMBERS
-        first = h @ w["top"]
-        first += self.top.take(before, 0)
-        hit = first[n, cluster]
-        np.exp(first, out=first)
-        total = first @ np.ones(CLUSTERS, first.dtype)
-        out = hit - np.log(total)
+        ends = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
+        h = np.take(h, order, 0, out=space("ordered", kind, n, WIDTH), mode="clip")
+        first, second = np.matmul(h, w["top"], out=space("first", kind, n, CLUSTERS)), space("second", kind, n, MEMBERS)
+        found = [(c, slice(ends[c], ends[c + 1])) for c in range(CLUSTERS) if ends[c] < ends[c + 1]]
+        for c, at in found:
+            np.matmul(h[at], w["inner"][c], out=second[at])
+        value, total = np.zeros(n, kind), space("total", kind, n)
+        weight = None if grads is None else weight.take(order)
+        for x, known, row, hit in ((first, self.top, before, cluster), (second, self.inner.reshape(-1, MEMBERS), cluster * (SLOTS + 1) + before, member)):
+            width = x.shape[1]
+            ones, hit = np.ones(width, kind), np.arange(n) * width + hit
+            for s in range(0, n, _ROWS):
+                few = slice(s, min(n, s + _ROWS))
+                part, at = x[few], hit[few]
+                part += np.take(known, row[few], 0, out=space("known", known.dtype, len(part), width), mode="clip")
+                value[few] += x.take(at)
+                np.exp(part, out=part)
+                np.matmul(part, ones, out=total[few])
+                if grads is not None:
+                    part *= (weight[few] / total[few])[:, None]
+                    x.reshape(-1)[at] -= weight[few]
+            value -= np.log(total)
         if grads is not None:
-            first *= (weight / total)[:, None]
-            first[n, cluster] -= weight
-            grads["top"], grads["h"], grads["inner"] = h.T @ first, first @ w["top"].T, np.zeros_like(w["inner"])
-        order = np.argsort(cluster.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        for c in range(CLUSTERS):  # places by the cluster of their target: one product a cluster
-            at = order[ends[c] : ends[c + 1]]
-            if not len(at):
-                continue
-            own = h.take(at, 0)
-            second = own @ w["inner"][c]
-            second += self.inner[c].take(before.take(at), 0)
-            m = np.arange(len(at))
-            hit = second[m, member[at]]
-            np.exp(second, out=second)
-            total = second @ np.ones(MEMBERS, second.dtype)
-            out[at] += hit - np.log(total)
-            if grads is not None:
-                second *= (weight[at] / total)[:, None]
-                second[m, member[at]] -= weight[at]
-                grads["inner"][c] = own.T @ second
-                grads["h"][at] += second @ w["inner"][c].T
+            grads["top"], grads["inner"] = h.T @ first, np.zeros_like(w["inner"])
+            dh, more = np.matmul(first, w["top"].T, out=space("dh ordered", kind, n, WIDTH)), space("dh inner", kind, n, WIDTH)
+            for c, at in found:
+                np.matmul(h[at].T, second[at], out=grads["inner"][c])
+                np.matmul(second[at], w["inner"][c].T, out=more[at])
+            dh += more
+            grads["h"] = space("dh", kind, n, WIDTH)
+            grads["h"][order] = dh
+        out = np.empty_like(value)
+        out[order] = value
         return out
 
-    def backward(self, read: np.ndarray, dh: np.ndarray, keep: dict) -> dict[str, np.ndarray]:
+    def backward(self, read: np.ndarray, dh: np.ndarray, keep: dict, space: Space | None = None) -> dict[str, np.ndarray]:
         """Gradients of the layer's weights from that of its output."""
-        w, g = self.weights, {}
-        b, t = read.shape
-        g["down"] = keep["u"].T @ dh
-        du = (dh @ w["down"].T) * (keep["u"] > 0)
-        g["up"] = keep["y"].T @ du
-        dy = dh + du @ w["up"].T
-        g["out"] = keep["z"].T @ dy
-        dz = (dy @ w["out"].T).reshape(b, t, WIDTH)
-        ds = np.matmul(dz, keep["v"].transpose(0, 2, 1))
-        dv = np.matmul(keep["a"].transpose(0, 2, 1), dz)
-        ds -= (dz * keep["z"].reshape(b, t, WIDTH)).sum(-1, keepdims=True)  # what the weights' sum of 1 takes back
-        ds *= keep["a"]
-        ds *= np.float32(WIDTH**-0.5)
-        dq, dk = np.matmul(ds, keep["k"]), np.matmul(ds.transpose(0, 2, 1), keep["q"])
-        dqkv = np.concatenate([dq, dk, dv], 2).reshape(-1, 3 * WIDTH)
-        g["qkv"] = keep["x"].T @ dqkv
-        dx = dy + dqkv @ w["qkv"].T
+        w, g, space = self.weights, {}, space or Space()
+        (b, t), n, kind = read.shape, read.size, dh.dtype
+        x, a, z, y, u = (keep[i] for i in ("x", "a", "z", "y", "u"))
+        g["down"] = u.T @ dh
+        du = np.matmul(dh, w["down"].T, out=space("du", kind, n, HIDDEN))
+        du *= np.greater(u, 0, out=space("on", np.dtype(bool), n, HIDDEN))
+        g["up"] = y.T @ du
+        dy = np.matmul(du, w["up"].T, out=space("dy", kind, n, WIDTH))
+        dy += dh
+        g["out"] = z.T @ dy
+        dz = space("dz", kind, n, WIDTH + 1)
+        np.matmul(dy, w["out"].T, out=dz[:, :WIDTH])
+        np.einsum("ij,ij->i", dz[:, :WIDTH], z, out=dz[:, WIDTH])
+        dz[:, WIDTH] *= -1  # what the weights' sum of 1 takes back meets the column of ones
+        dz = dz.reshape(b, t, WIDTH + 1)
+        q, k, v = _qkv(keep["qkv"].reshape(b, t, -1))
+        dqkv = space("dqkv", kind, b, t, 3 * WIDTH)
+        dq, dk, dv = _qkv(dqkv)
+        ds = space("ds", kind, min(b, _PART), t, t)
+        for s in range(0, b, _PART):
+            few = slice(s, min(b, s + _PART))
+            part = np.matmul(dz[few], v[few].transpose(0, 2, 1), out=ds[: few.stop - s])
+            part *= a[few]
+            np.matmul(part, k[few], out=dq[few])
+            np.matmul(part.transpose(0, 2, 1), q[few], out=dk[few])
+            np.matmul(a[few].transpose(0, 2, 1), dz[few, :, :WIDTH], out=dv[few])
+        dq *= _SCALE
+        dqkv = dqkv.reshape(n, 3 * WIDTH)
+        g["qkv"] = x.T @ dqkv
+        dx = np.matmul(dqkv, w["qkv"].T, out=space("dx", kind, n, WIDTH))
+        dx += dy
         g["place"] = np.zeros_like(w["place"])
         g["place"][:t] = dx.reshape(b, t, WIDTH).sum(0)
         g["embed"] = np.stack([np.bincount(read.reshape(-1), dx[:, i], len(w["embed"])) for i in range(WIDTH)], 1).astype(np.float32)
@@ -245,7 +304,7 @@ class Model:
         begin = stride * (np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number))  # of the window's targets in its text
         order = np.argsort(np.minimum(sizes[text] - begin, WINDOW), kind="stable")  # windows of a length together
         out, step, outputs, within = np.zeros(len(sizes)), np.arange(WINDOW), self.slot[ids], self.within[ids]
-        begin, first_of, left_of = begin.astype(np.int32), starts[text] + begin, sizes[text] - begin
+        begin, first_of, left_of, space = begin.astype(np.int32), starts[text] + begin, sizes[text] - begin, Space()
         for s in range(0, len(order), batch):
             pick = order[s : s + batch]
             left, starting = left_of[pick], begin[pick] == 0
@@ -256,7 +315,9 @@ class Model:
             read[:, 1:] = target[:, :-1]
             read[:, 0] = np.where(starting, SLOTS, outputs.take(at[:, 0] - 1, mode="clip"))
             scored = np.flatnonzero((step[:t] < left[:, None]) & (starting[:, None] | (step[:t] >= OVERLAP)))  # not context, not beyond the end
-            value = self.logs(self.hidden(read).take(scored, 0), read.reshape(-1).take(scored), target.reshape(-1).take(scored))
+            h = self.hidden(read, space=space)
+            h = np.take(h, scored, 0, out=space("scored", h.dtype, len(scored), WIDTH), mode="clip")
+            value = self.logs(h, read.reshape(-1).take(scored), target.reshape(-1).take(scored), space=space)
             value /= np.float32(np.log(10))
             value += within.take(at.reshape(-1).take(scored))
             out += np.bincount(text[pick].take(scored // t), value, len(sizes))
@@ -267,7 +328,7 @@ class Adam:
     """Steps of a model's weights, and their state as one row of numbers."""
 
     def __init__(self, model: Model, state: np.ndarray | None = None, step: int = 0):
-        self.model, self.step = model, step
+        self.model, self.step, self.space = model, step, Space()
         self.m = {k: np.zeros_like(v) for k, v in model.weights.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.weights.items()}
         if state is not None:
@@ -282,23 +343,49 @@ class Adam:
 
     def descend(self, outputs: np.ndarray, rate: float) -> None:
         """One step. outputs: windows with the output before them at the front; SLOTS is no target."""
-        model, keep, grads = self.model, {}, {}
-        read, target = outputs[:, :-1], outputs[:, 1:].reshape(-1)
+        model, space, keep, grads = self.model, self.space, {}, {}
+        read, target = np.ascontiguousarray(outputs[:, :-1]), outputs[:, 1:].reshape(-1)
         on = target < SLOTS
-        model.logs(model.hidden(read, keep), read.reshape(-1), np.where(on, target, 0), grads, (on / max(1, on.sum())).astype(np.float32))
-        grads |= model.backward(read, grads.pop("h"), keep)
+        model.logs(model.hidden(read, keep, space), read.reshape(-1), np.where(on, target, 0), grads, (on / max(1, on.sum())).astype(np.float32), space)
+        grads |= model.backward(read, grads.pop("h"), keep, space)
         self.step += 1
         rate *= 0.01 * min(1, self.step / 50)
         for k, g in grads.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
-            model.weights[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            w, m, v = model.weights[k], self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            g *= g
+            g *= 0.01
+            v += g
+            by = np.sqrt(v)
+            by *= (1 - 0.99**self.step) ** -0.5
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= rate / (1 - 0.9**self.step)
+            w -= by
 
 
 def _training(ids: pa.Array, remainder: int) -> np.ndarray:
     return np.array([i is None or id_crc(i) % 5 != remainder for i in ids.to_pylist()], bool)
 
 
+def _windows(names: pa.Array, ids: np.ndarray, starts: np.ndarray, learn: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """Rounds, sizes and ids of all windows of those texts that learn marks."""
+    crc = np.array([0 if i is None else id_crc(i) for i in names.to_pylist()], np.uint64)
+    sizes = np.diff(starts)
+    number = -(-sizes // WINDOW) * learn
+    text = np.repeat(np.arange(len(sizes)), number)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+    begin, size = starts[text] + text + WINDOW * nth, np.minimum(WINDOW, sizes[text] - WINDOW * nth) + 1
+    ids = np.insert(ids.astype("<u2"), starts[:-1], _START)
+    share = fmix(crc[text] << np.uint64(32) | nth.astype(np.uint64)) % np.uint64(_ROUNDS[-1])
+    rounds = np.searchsorted(_ROUNDS, share.astype(np.int64), side="right")
+    for r in np.unique(rounds):
+        at = np.flatnonzero(rounds == r)
+        yield int(r), size[at].astype("u1").tobytes(), ids[ragged(begin[at], size[at])].tobytes()
+
+
 def training_windows(docs: DataFrame, vocabulary: str, remainder: int) -> DataFrame:
     """(round, sizes, ids): all windows of all training documents, each of up to WINDOW ids with the one before them at the front. A row holds a chunk's
     windows of a round; a window's round depends on its document's id and its place there."""
@@ -312,18 +399,8 @@ def training_windows(docs: DataFrame, vocabulary: str, remainder: int) -> DataFr
                 flat, base = lower_words(texts.slice(s, e - s))
                 codes, words = coded(flat)
                 ids, starts = text_ids(sub, words, codes, base)
-                crc = np.array([0 if i is None else id_crc(i) for i in names.slice(s, e - s).to_pylist()], np.uint64)
-                sizes = np.diff(starts)
-                number = -(-sizes // WINDOW)
-                text = np.repeat(np.arange(len(sizes)), number)
-                nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
-                begin, size = starts[text] + text + WINDOW * nth, np.minimum(WINDOW, sizes[text] - WINDOW * nth) + 1
-                ids = np.insert(ids.astype("<u2"), starts[:-1], _START)
-                share = fmix(crc[text] << np.uint64(32) | nth.astype(np.uint64)) % np.uint64(_ROUNDS[-1])
-                rounds = np.searchsorted(_ROUNDS, share.astype(np.int64), side="right")
-                for r in np.unique(rounds):
-                    at = np.flatnonzero(rounds == r)
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([size[at].astype("u1").tobytes()]), pa.array([ids[ragged(begin[at], size[at])].tobytes()])], ["round", "sizes", "ids"])
+                for r, sizes, ids in _windows(names.slice(s, e - s), ids, starts, np.ones(e - s, bool)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([sizes]), pa.array([ids])], ["round", "sizes", "ids"])
 
     return materialize(docs.select("doc_id", "text").mapInArrow(run, "round int, sizes binary, ids binary"), "lm-windows")
 
@@ -414,14 +491,19 @@ def _wide(slot: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, remainder: int = 1, documents: int = 2500, windows: int = 16) -> Model:
     """A model of all training documents. There is a task for each documents * windows windows, and each learns its share."""
-    vocabulary, most = shipped(vocabulary), documents * windows
+    vocabulary = shipped(vocabulary)
     rows = training_windows(docs, vocabulary, remainder)
+    model = _fit(rows, vocabulary, documents * windows)
+    drop_scratch(rows)
+    return model
+
+
+def _fit(rows: DataFrame, vocabulary: str, most: int) -> Model:
     counts, n = id_counts(rows)
     slot = slots_of(counts, Subwords(vocabulary).begins)
     model = Model.of_counts(slot, counts, pair_counts(rows, slot))
     model.learnt_from = n
     _learn(model, rows, tasks=max(1, n // most))
-    drop_scratch(rows)
     return model
 
 
@@ -481,10 +563,19 @@ def _learn(model: Model, rows: DataFrame, tasks: int) -> None:
     Adam(model, state)
 
 
-def _score(model: Model, vocabulary: str, remainder: int, buckets: int):
-    """Rows of kind 0: a document (chunk, place, doc_id, held_out, n_tokens, score); of kind 1: a chunk's words of a bucket (hashes, training counts, and
-    which texts hold each how often)."""
-    names = ["kind", "chunk", "place", "doc_id", "held_out", "n_tokens", "score", "bucket", "words", "counts", "holders", "places", "times"]
+#: Columns of a row of _scan, by kind.
+_KINDS = (("chunk", "place", "doc_id", "held_out", "n_tokens", "ids"), ("chunk", "words", "counts", "holders", "places", "times"), ("round", "sizes", "windows"))
+
+
+def _scan_schema(kind: str) -> str:
+    return f"kind int, chunk long, place int, doc_id {kind}, held_out boolean, n_tokens long, ids binary, words binary, counts binary, holders binary, places binary, times binary, round int, sizes binary, windows binary"
+
+
+def _scan(vocabulary: str, remainder: int):
+    """All that is read of the texts, in one pass. Rows of kind 0: a document (chunk, place, doc_id, held_out, n_tokens, ids); of kind 1: a chunk's words in order of
+    their hashes (hashes, training counts, and which texts hold each how often); of kind 2: a chunk's training windows of a round."""
+    types = {"kind": pa.int32(), "chunk": pa.int64(), "place": pa.int32(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "round": pa.int32()}
+    names = ["kind", *dict.fromkeys(c for k in _KINDS for c in k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = Subwords(vocabulary)
@@ -492,22 +583,29 @@ def _score(model: Model, vocabulary: str, remainder: int, buckets: int):
             for s0, e0 in text_chunks(b.column(1), CHUNK):
                 for s in range(s0, e0, 60_000):
                     n = min(e0, s + 60_000) - s
-                    yield from chunk(sub, b.column(0).slice(s, n), b.column(1).slice(s, n))
+                    for kind, columns in chunk(sub, b.column(0).slice(s, n), b.column(1).slice(s, n)):
+                        m = len(columns[0])
+                        given = {"kind": pa.array(np.full(m, kind, np.int32))} | dict(zip(_KINDS[kind], columns, strict=True))
+                        types["doc_id"] = b.column(0).type
+                        yield pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(m, types.get(c, pa.binary())) for c in names], names)
 
-    def chunk(sub: Subwords, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    def chunk(sub: Subwords, names: pa.Array, texts: pa.Array) -> Iterator[tuple[int, list[pa.Array]]]:
         number, n = uuid.uuid4().int >> 65, len(texts)
-        learn = _training(ids, remainder)
+        learn = _training(names, remainder)
         flat, base = lower_words(texts)
         codes, words = coded(flat)
         sizes = np.diff(base)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(~learn), pa.array(sizes + 1), pa.array(model.log10s(*text_ids(sub, words, codes, base))), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 5], names)
+        ids, starts = text_ids(sub, words, codes, base)
+        blobs = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(2 * starts), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
+        yield 0, [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), names, pa.array(~learn), pa.array(sizes + 1), blobs]
+        for r, few, of in _windows(names, ids, starts, learn):
+            yield 2, [pa.array([r], pa.int32()), pa.array([few]), pa.array([of])]
         if not words:
             return
         text = np.repeat(np.arange(n), sizes)
         counts = np.bincount(codes[learn[text]], minlength=len(words))
         hashes = word_hashes(words)
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((hashes, bucket))
+        by = np.argsort(hashes)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
         pair, times = np.unique(rank[codes] << 20 | text, return_counts=True)
@@ -516,17 +614,40 @@ def _score(model: Model, vocabulary: str, remainder: int, buckets: int):
             pair, times = np.concatenate([pair, pair[more]]), np.concatenate([np.minimum(times, 65535), times[more] - 65535])
         order = np.argsort(pair, kind="stable")
         pair, times = pair[order], times[order]
-        hashes, counts, bucket = hashes[by], counts[by], bucket[by]
         holders = np.bincount(pair >> 20, minlength=len(by))
-        post = np.concatenate([[0], np.cumsum(holders)])
-        found, x = np.unique(bucket, return_index=True)
-        y = np.append(x[1:], len(by))
-        m = len(found)
-        cut = lambda v, kind, x, y: pa.array([v[i:j].astype(kind).tobytes() for i, j in zip(x, y, strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.ones(m, np.int32)), pa.array(np.full(m, number)), pa.nulls(m, pa.int32()), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(found.astype(np.int32)),
-            cut(hashes, "<u8", x, y), cut(counts, "<u4", x, y), cut(holders, "<u4", x, y), cut(pair & 0xFFFFF, "<u2", post[x], post[y]), cut(times, "<u2", post[x], post[y]),
-        ], names)
+        yield 1, [pa.array([number]), *(pa.array([v.astype(kind).tobytes()]) for v, kind in ((hashes[by], "<u8"), (counts[by], "<u4"), (holders, "<u4"), (pair & 0xFFFFF, "<u2"), (times, "<u2")))]
+
+    return run
+
+
+def _in_buckets(buckets: int, columns: list[str]):
+    """A chunk's words, cut in equal ranges of their hashes."""
+    edges = np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                hashes, holders = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["holders"], "<u4")
+                ends = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+                posts = np.concatenate([[0], np.cumsum(holders, dtype=np.int64)])[ends]
+                found = np.flatnonzero(np.diff(ends))
+                of = {"words": (ends, 8), "counts": (ends, 4), "holders": (ends, 4), "places": (posts, 2), "times": (posts, 2)}
+                cut = lambda c: pa.array([row[c][of[c][0][i] * of[c][1] : of[c][0][i + 1] * of[c][1]] for i in found], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["chunk"])), pa.array(found.astype(np.int32)), *map(cut, columns)], ["chunk", "bucket", *columns])
+
+    return run
+
+
+def _score(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with their scores instead of their ids."""
+        for b in batches:
+            for s, e in text_chunks(b["ids"], CHUNK // 2):
+                few = b.slice(s, e - s)
+                ids = few["ids"].to_pylist()
+                starts = np.concatenate([[0], np.cumsum([len(x) // 2 for x in ids])])
+                scores = model.log10s(np.frombuffer(b"".join(ids), "<u2"), starts)
+                yield pa.RecordBatch.from_arrays([*few.columns[:-1], pa.array(scores)], [*few.schema.names[:-1], "score"])
 
     return run
 
@@ -569,16 +690,21 @@ def lm_scores(docs: DataFrame, vocabulary: str = VOCABULARY, remainder: int = 1,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row. Rows with crc32(doc_id) mod 5 = remainder are held out."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     vocabulary = shipped(vocabulary)
-    model = train(docs, vocabulary, remainder, documents, windows)
+    scan = materialize(docs.select("doc_id", "text").mapInArrow(_scan(vocabulary, remainder), _scan_schema(kind)), "lm-scan")
+    model = _fit(scan.where("kind = 2").select("round", "sizes", F.col("windows").alias("ids")), vocabulary, documents * windows)
     buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, model.learnt_from // _BUCKET_WINDOWS)
-    schema = f"kind int, chunk long, place int, doc_id {kind}, held_out boolean, n_tokens long, score double, bucket int, words binary, counts binary, holders binary, places binary, times binary"
-    scan = materialize(docs.select("doc_id", "text").mapInArrow(_score(model, vocabulary, remainder, buckets), schema), "lm-scan")
-    rows, posts = scan.where("kind = 0"), scan.where("kind = 1")
-    totals = materialize(posts.select("chunk", "bucket", "words", "counts").groupBy("bucket").applyInArrow(_totals, "chunk long, bucket int, totals binary, n long, v long"), "lm-totals")
+    rows = scan.where("kind = 0").select("chunk", "place", "doc_id", "held_out", "n_tokens", "ids")
+    rows = materialize(rows.mapInArrow(_score(model), f"chunk long, place int, doc_id {kind}, held_out boolean, n_tokens long, score double"), "lm-scores")
+
+    def posts(*columns: str) -> DataFrame:
+        words = scan.where("kind = 1").select("chunk", *dict.fromkeys(["words", "holders", *columns]))
+        return words.mapInArrow(_in_buckets(buckets, list(columns)), f"chunk long, bucket int, {', '.join(f'{c} binary' for c in columns)}")
+
+    totals = materialize(posts("words", "counts").groupBy("bucket").applyInArrow(_totals, "chunk long, bucket int, totals binary, n long, v long"), "lm-totals")
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     ends = rows.where("not held_out").count()  # the end's count
     n, v = n + ends, v + (ends > 0)
-    parts = posts.select("chunk", "bucket", "holders", "places", "times").join(totals.select("chunk", "bucket", "totals"), ["chunk", "bucket"]).select("chunk", "holders", "places", "times", "totals")
+    parts = posts("holders", "places", "times").join(totals.select("chunk", "bucket", "totals"), ["chunk", "bucket"]).select("chunk", "holders", "places", "times", "totals")
     parts = parts.mapInArrow(_parts(n, v), "chunk long, places binary, base binary, known binary").groupBy("chunk").applyInArrow(_sum_parts, "chunk long, place int, base double, known long")
     out = rows.select("chunk", "place", "doc_id", "held_out", "n_tokens", "score").join(parts, ["chunk", "place"], "left")
     end = float(np.log10((ends + 0.5) / (n + 0.5 * (v + 1))))

@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -184,6 +185,37 @@ def test_outputs_go_to_ids_frequent_in_the_corpus(spark):
     assert any(zlib.crc32(str(i).encode()) % 5 != 1 for i in (2, 3, 4, 5)) and all(shared[model.slot[i]] == 1 for i in ids)
 
 
+def test_batches_are_worked_out_in_the_same_memory():
+    """A batch after the first asks for little new memory."""
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 50, lm.END + 1)
+    slot = lm.slots_of(counts, np.arange(lm.END + 1) % 2 == 0)
+    adam = lm.Adam(lm.Model.of_counts(slot, counts, rng.integers(0, 5, (lm.SLOTS + 1, lm.SLOTS)).astype(float)))
+    batch = rng.integers(0, lm.SLOTS, (128, lm.WINDOW + 1))
+    adam.descend(batch, 1)
+    tracemalloc.start()
+    try:
+        adam.descend(batch, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 << 20, peak
+
+
+def test_scores_are_those_of_a_model_of_the_same_texts(spark):
+    """One pass over the texts gives the ids that are learnt from and those that are scored."""
+    rng = random.Random(12)
+    texts = [*ODD[:5], "", None, *[prose(rng, rng.randrange(1, 200)) for _ in range(30)], "x y " * 3_000]
+    d = docs(spark, texts).coalesce(1)
+    model = lm.train(d)
+    sub = lm.Subwords(lm.VOCABULARY)
+    got = {r.doc_id: r.score for r in lm.lm_scores(d).collect()}
+    for i, t in enumerate(texts):
+        words = (t or "").encode().lower().split()
+        ids, starts = lm.text_ids(sub, words, np.arange(len(words)), np.array([0, len(words)]))
+        assert math.isclose(got[i], model.log10s(ids, starts)[0], rel_tol=1e-3), i
+
+
 # -- mixing
 
 
