@@ -61,6 +61,12 @@ def test_scanner_finds_what_it_should(spark):
     assert scanner.scan_source("(" * 5000 + ")" * 5000)[0][3] == scanner.NOT_VERIFIED
 
 
+def test_sources_of_one_task_are_dealt_out(spark):
+    sources = spark.range(200).selectExpr("concat('f', id) AS path", "CAST('def (' AS BINARY) AS content").coalesce(1)
+    tasks = scanner.scan(sources).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in tasks) == 200 and len(tasks) > 4 and max(r["count"] for r in tasks) < 60
+
+
 def test_scan_of_folders(spark, tmp_path, capsys):
     from onceflow.cli import main
 
