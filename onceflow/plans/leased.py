@@ -106,22 +106,22 @@ class LeasedEngine(Engine):
 
     def _claim(self, todo: DataFrame, here: str) -> DataFrame:
         def change(ledger: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-            mine, now = self._touched(ledger, todo), self.clock()
+            mine, now = self._stored(ledger, f"{here}/held"), self.clock()
             decided = self._stored(claims.decide_leased(todo, mine, now, self.lease_seconds, self._matches(todo)).drop("stored_fingerprint"), f"{here}/decided")
             acting = decided.where(F.col("new_token").isNotNull()).take(1)
             return leases.take(mine, decided, self._instant()) if acting else None, decided
 
-        return self.ledger.update(change, "claim")
+        return self.ledger.update(change, "claim", keys=todo)
 
     def _fence(self, writes: DataFrame, path: str, note: str) -> DataFrame:
         """(key, applied) of fenced writes."""
 
         def change(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-            after, hits = tr.fence(self._touched(ledger, writes), writes, self._instant())
+            after, hits = tr.fence(self._stored(ledger, f"{path}-on"), writes, self._instant())
             hits = self._stored(hits, path)
             return after.join(hits.where("applied"), "key", "left_semi"), hits
 
-        return self.ledger.update(change, note)
+        return self.ledger.update(change, note, keys=writes)
 
     def _ask(self, taken: DataFrame) -> DataFrame:
         """(key, verdict, result) from the providers of effects taken over (key, tool)."""
@@ -154,6 +154,7 @@ class LeasedEngine(Engine):
         ways = mine.join(actions, "key", "left").join(reads.select("key", F.col("result").alias("found")), "key", "left")
         to = F.when(F.col("action") == "ADOPT", S.SUCCEEDED).when(F.col("action") == "AMBIGUATE", S.AMBIGUOUS).otherwise(S.EXECUTING)
         writes = ways.select("key", F.col("new_token").alias("token"), to.alias("state"), F.when(F.col("action") == "ADOPT", F.col("found")).alias("result"), none.alias("result_ref"), none.alias("error"))
+        writes = self._stored(writes, f"{here}/marks")
         marked = self._fence(writes, f"{here}/marked", "mark").join(writes.select("key", "state", F.col("result").alias("found")), "key")
         sent = decided.join(marked.where(F.col("applied") & (F.col("state") == S.EXECUTING)).select("key"), "key", "left_semi").where("new_token is not null")
         sent = self._stored(sent, f"{here}/sent")
@@ -180,11 +181,10 @@ class LeasedEngine(Engine):
         beats = sent.select("key", "owner", F.lit(self.lease_seconds).alias("lease_seconds"))
 
         def change(ledger: DataFrame) -> tuple[DataFrame, int]:
-            held = self._touched(ledger, beats)
-            after, hits = tr.heartbeat(held, beats, self.clock())
+            after, hits = tr.heartbeat(ledger, beats, self.clock())
             return after.join(hits.where("applied"), "key", "left_semi"), hits.where("applied").count()
 
-        return self.ledger.update(change, "heartbeat")
+        return self.ledger.update(change, "heartbeat", keys=beats)
 
     def _record(self, sent: DataFrame, outcomes: DataFrame, here: str) -> DataFrame:
         """(key, action, stored, stored_ref): what the records of a batch met. A record that its token no longer allows is healed with what is known."""
@@ -192,9 +192,10 @@ class LeasedEngine(Engine):
         known = outcomes.where("outcome <> 'unknown'").withColumn("state", state)
         tokens = sent.select("key", F.col("new_token").alias("token"), "fingerprint")
         writes = known.join(tokens, "key").select("key", "token", "state", "result", "result_ref", "error", "fingerprint")
+        writes = self._stored(writes, f"{here}/records")
 
         def change(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-            mine = self._touched(ledger, writes)
+            mine = self._stored(ledger, f"{here}/recorded-on")
             after, hits = tr.fence(mine, writes.drop("fingerprint"), self._instant())
             late = writes.join(hits.where("not applied").select("key"), "key", "left_semi").withColumn("succeeded", F.col("state") == S.SUCCEEDED)
             acts = tr.heal(late.select("key", "fingerprint", "succeeded"), mine).select("key", "action")
@@ -206,7 +207,7 @@ class LeasedEngine(Engine):
             after, _ = tr.late_evidence(after, evidence, self._instant())
             return after.join(acts.where("action in ('APPLIED', 'HEAL')").select("key"), "key", "left_semi"), acts
 
-        met = self.ledger.update(change, "record")
+        met = self.ledger.update(change, "record", keys=writes)
         if late := met.where("action <> 'APPLIED'").count():
             log.warning("%d records came after another writer had taken over", late)
         return met

@@ -43,6 +43,6 @@ class Store(Protocol):
         """One row an effect, by default as of the last commit."""
         ...
 
-    def update(self, change: Callable[[DataFrame], tuple[DataFrame | None, Any]], note: str = "", tries: int = 10) -> Any:
-        """Commits the rows that `change` gives for what is there, if any, and returns its answer."""
+    def update(self, change: Callable[[DataFrame], tuple[DataFrame | None, Any]], note: str = "", tries: int = 10, keys: DataFrame | None = None) -> Any:
+        """Commits the rows that `change` gives for what is there, if any, and returns its answer. keys: rows (key, ...); `change` gets the rows with these keys."""
         ...

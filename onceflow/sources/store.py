@@ -131,21 +131,26 @@ class Ledger:
     def _load(self, name: str) -> DataFrame:
         return evolve(self.spark.read.parquet(f"{self.path}/state/{name}"))
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
         """The state at a version, by default the last; a ledger without commits is empty. The base is read as it lies: the
-        keys that deltas have touched are few and go to it, by broadcast where they are small."""
+        keys that deltas have touched are few and go to it, by broadcast where they are small. keys: rows (key, ...) whose keys alone are wanted; other rows are dropped
+        where they are read, before deltas are merged."""
+        only = None if keys is None else keys.select("key").distinct()
+        kept = lambda rows: rows if only is None else rows.join(only, "key", "left_semi").select(*rows.columns)
         commit = self._commit(self.version() if version is None else version)
         if not commit["base"] and not commit["deltas"]:
             return self.spark.createDataFrame([], EFFECTS)
         if not commit["deltas"]:
-            return self._load(commit["base"])
+            return kept(self._load(commit["base"]))
         late = [self._load(d) for d in commit["deltas"]]
         if len(late) > 1:
-            tagged = reduce(DataFrame.unionByName, [d.withColumn("delta", F.lit(i)) for i, d in enumerate(late)])
-            last = tagged.groupBy("key").agg(F.max_by(F.struct(*EFFECTS.names), "delta").alias("row")).select("row.*")
+            tagged = kept(reduce(DataFrame.unionByName, [d.withColumn("delta", F.lit(i)) for i, d in enumerate(late)]))
+            rest = [c for c in EFFECTS.names if c != "key"]
+            # the key itself, not one out of the row: what is joined next by key then needs no shuffle
+            last = tagged.groupBy("key").agg(F.max_by(F.struct(*rest), "delta").alias("row")).select(*["key" if c == "key" else f"row.{c}" for c in EFFECTS.names])
         else:
-            last = late[0]
-        return self._load(commit["base"]).join(last.select("key"), "key", "left_anti").select(*EFFECTS.names).unionByName(last) if commit["base"] else last
+            last = kept(late[0])
+        return kept(self._load(commit["base"])).join(last.select("key"), "key", "left_anti").select(*EFFECTS.names).unionByName(last) if commit["base"] else last
 
     def _write(self, rows: DataFrame, on: int) -> str:
         name = f"{on + 1:020d}-{uuid.uuid4().hex}"
@@ -169,12 +174,12 @@ class Ledger:
         on = self.version()
         return self._create(on, self._write(self.read(on), on), [], "compact")
 
-    def update(self, change: Callable[[DataFrame], tuple[DataFrame | None, Any]], note: str = "", tries: int = 10) -> Any:
+    def update(self, change: Callable[[DataFrame], tuple[DataFrame | None, Any]], note: str = "", tries: int = 10, keys: DataFrame | None = None) -> Any:
         """Reads, changes, commits; on a conflict all three again, so the decision is always about what is there. change gives
-        (changed rows, answer); None instead of rows makes no commit."""
+        (changed rows, answer); None instead of rows makes no commit. keys: it gets the rows with these keys, so that it costs what they are."""
         for _ in range(tries):
             on = self.version()
-            changed, answer = change(self.read(on))
+            changed, answer = change(self.read(on, keys))
             if changed is None:
                 return answer
             try:

@@ -235,3 +235,24 @@ def test_sqlite_import(spark, tmp_path):
     with pytest.raises(LedgerError):
         read_effects(spark, str(tmp_path / "text"))
     assert T0
+
+
+def test_a_batch_merges_only_its_keys(spark, tmp_path):
+    """Deltas are cut to the keys asked for before they are merged, with a base and without one."""
+    ledger = Ledger(spark, str(tmp_path / "l"), create=True)
+    rows = lambda keys, state: effects(spark, [{"key": k, "state": state} for k in keys])
+    for i, state in enumerate((S.CLAIMED, S.EXECUTING, S.SUCCEEDED)):
+        ledger.update(lambda _, i=i, state=state: (rows([f"k{n}" for n in range(i, 20)], state), None))
+    keys = spark.createDataFrame([("k0",), ("k1",), ("k7",), ("k7",), ("other",)], "key string")
+    want = {"k0": S.CLAIMED, "k1": S.EXECUTING, "k7": S.SUCCEEDED}
+    plan = ledger.read(keys=keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("max_by") < plan.index("LeftSemi")  # the join stands below the merge
+    for _ in range(2):
+        some = ledger.read(keys=keys)
+        assert {r.key: r.state for r in some.collect()} == want and some.columns == S.EFFECTS.names
+        seen = []
+        ledger.update(lambda found, seen=seen: (None, seen.extend(r.key for r in found.collect())), keys=keys)
+        assert sorted(seen) == sorted(want)
+        ledger.compact()
+    ledger.update(lambda found: (found.withColumn("state", F.lit(S.FAILED)), None), keys=keys.where("key = 'k1'"))
+    assert {r.key: r.state for r in ledger.read(keys=keys).collect()} == want | {"k1": S.FAILED} and ledger.read().count() == 20
